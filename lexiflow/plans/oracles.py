@@ -349,3 +349,248 @@ union all select 3, 'deduplicated', cast(count(*) as bigint) from rd_staged
 union all select 4, 'non_empty', cast(count(*) filter (where length(text) > 0) as bigint) from rd_staged
 union all select 5, 'mapped', cast(count(*) filter (where length(text) > 0 and label is not null) as bigint) from rd_staged""",
 )
+
+# ---- prepared rows, split -------------------------------------------------
+oracle("label_remap", ["prepared"], "select polarity, label, count(*) as n from prepared group by polarity, label")
+oracle(
+    "label_names",
+    ["prepared"],
+    f"select label, {NAME_SQL.format(x='label')} as label_name, count(*) as n from prepared group by label",
+)
+cte("keyed", ["prepared"], "select *, coalesce(cast(label as varchar), 'nan') || '_' || coalesce(domain, 'nan') as raw_key from prepared")
+cte(
+    "strat",
+    ["keyed"],
+    """select k.* exclude (raw_key),
+  case when c.n < 3 then coalesce(cast(k.label as varchar), 'nan') else k.raw_key end as stratify_key
+from keyed k join (select raw_key, count(*) as n from keyed group by raw_key) c on k.raw_key = c.raw_key""",
+)
+cte("q_sizes", ["strat"], "select stratify_key, count(*) as c from strat group by stratify_key")
+cte(
+    "q_train",
+    ["q_sizes"],
+    """select *, fl + case when row_number() over (order by rem desc, stratify_key) <= n_train - sum(fl) over () then 1 else 0 end as train_q
+from (select *, (c * n_train) // greatest(n, 1) as fl, (c * n_train) % greatest(n, 1) as rem
+      from (select *, n - n_temp as n_train
+            from (select *, sum(c) over () as n, (sum(c) over () * 2 + 9) // 10 as n_temp from q_sizes)))""",
+)
+cte(
+    "quotas",
+    ["q_train"],
+    """select stratify_key, c, train_q, temp_q, valid_q, temp_q - valid_q as test_q
+from (select *, fl + case when row_number() over (order by rem desc, stratify_key) <= n_valid - sum(fl) over () then 1 else 0 end as valid_q
+      from (select *, (temp_q * n_valid) // greatest(n_temp, 1) as fl, (temp_q * n_valid) % greatest(n_temp, 1) as rem
+            from (select stratify_key, c, n_temp, train_q, c - train_q as temp_q, n_temp - (n_temp + 1) // 2 as n_valid from q_train)))""",
+)
+cte(
+    "splits",
+    ["strat", "quotas"],
+    """select s.* exclude (rk), case when s.rk <= q.test_q then 'test' when s.rk <= q.test_q + q.valid_q then 'valid' else 'train' end as split
+from (select *, row_number() over (partition by stratify_key order by md5('42|' || uid), uid) as rk from strat) s
+join quotas q on s.stratify_key = q.stratify_key""",
+)
+oracle("stratify_keys", ["strat"], "select uid, stratify_key from strat")
+oracle("stratified_split", ["splits"], "select uid, split from splits")
+oracle("split_sizes", ["splits"], "select split, count(*) as n from splits group by split")
+oracle(
+    "split_label_share",
+    ["splits"],
+    f"""select split, label, {NAME_SQL.format(x='label')} as label_name, n, round(n * 100.0 / sum(n) over (partition by split), 6) as pct
+from (select split, label, count(*) as n from splits group by split, label)""",
+)
+oracle(
+    "split_invariants",
+    ["splits", "prepared"],
+    """select 'train_valid_overlap' as "check", count(*) as n from (select uid from splits where split = 'train' intersect all select uid from splits where split = 'valid')
+union all select 'train_test_overlap', count(*) from (select uid from splits where split = 'train' intersect all select uid from splits where split = 'test')
+union all select 'valid_test_overlap', count(*) from (select uid from splits where split = 'valid' intersect all select uid from splits where split = 'test')
+union all select 'missing_from_splits', count(*) from (select uid from prepared except all select uid from splits)
+union all select 'extra_in_splits', count(*) from (select uid from splits except all select uid from prepared)""",
+)
+oracle("domain_filter", ["splits"], "select uid, split, domain, label from splits where domain in ('de', 'en', 'fr')")
+oracle(
+    "class_weights",
+    ["splits"],
+    """select g.label, cast(coalesce(c.n_c, 0) as bigint) as n_c,
+  round(case when coalesce(c.n_c, 0) = 0 then 'inf'::double else (sum(coalesce(c.n_c, 0)) over ()) / (3.0 * c.n_c) end, 6) as weight
+from (select cast(unnest(range(0, 3)) as integer) as label) g
+left join (select label, count(*) as n_c from splits where split = 'train' group by label) c on g.label = c.label""",
+)
+
+# ---- tokens ---------------------------------------------------------------
+cte("tok", ["prepared"], f"select *, cast({token_count_sql('text')} as integer) as token_len from prepared")
+oracle("token_len", ["tok"], "select uid, token_len from tok")
+oracle("token_describe", ["tok"], _describe("tok", "token_len"))
+oracle("token_quantiles", ["tok"], _quantiles("tok", "token_len"))
+oracle("token_stats_by_domain", ["tok"], _group_stats("tok", "domain", "token_len", [(0.9, "p90"), (0.95, "p95")]))
+_CANDS = (64, 96, 128, 192, 256, 320, 384)
+oracle(
+    "truncation_overall",
+    ["tok"],
+    "\nunion all ".join(
+        f"select {ml} as max_length, round(count(*) filter (where token_len > {ml}) * 100.0 / count(*), 6) as truncated_pct from tok"
+        for ml in _CANDS
+    ),
+)
+oracle(
+    "truncation_by_domain",
+    ["tok"],
+    "select domain, count(*) as count, "
+    + ", ".join(f"round(count(*) filter (where token_len > {ml}) * 100.0 / count(*), 6) as trunc_{ml}" for ml in _CANDS)
+    + " from tok where domain is not null group by domain",
+)
+_REC = _CANDS + (512, 768, 1024, 1536, 2048, 3072, 4096)
+oracle(
+    "recommend_max_length",
+    ["tok"],
+    """select cast(coalesce(min(ml) filter (where over_n * 100 <= 5 * n), max(ml)) as integer) as recommended_max_length,
+  round(arg_min(over_n * 100.0 / n, case when over_n * 100 <= 5 * n then ml else 100000 + ml end), 6) as truncated_pct,
+  max(n) as n
+from (select c.ml, (select count(*) from tok) as n, (select count(*) from tok where token_len > c.ml) as over_n
+      from (select unnest(["""
+    + ", ".join(str(x) for x in _REC)
+    + """]) as ml) c)""",
+)
+oracle(
+    "truncate_tokens",
+    ["prepared"],
+    f"""select uid, len(t) as kept_len, array_to_string(t, ' ') as truncated
+from (select uid, list_concat(['[CLS]'], list_slice({tokens_sql('text')}, 1, 190), ['[SEP]']) as t from prepared)""",
+)
+oracle(
+    "padding_share",
+    ["tok"],
+    """select count(*) as n, 192 as max_length, cast(sum(least(token_len, 192)) as bigint) as real_tokens,
+  cast(count(*) * 192 - sum(least(token_len, 192)) as bigint) as pad_tokens,
+  round((count(*) * 192 - sum(least(token_len, 192))) * 100.0 / (count(*) * 192), 6) as padding_pct
+from tok""",
+)
+oracle(
+    "vocab_top",
+    ["prepared"],
+    f"""select token, n, cast(row_number() over (order by n desc, token) as integer) as rank
+from (select token, count(*) as n from (select unnest({tokens_sql('text')}) as token from prepared) group by token)
+order by n desc, token limit 50""",
+)
+
+# ---- metrics over fixture predictions ------------------------------------
+cte("cc", ["predictions_long"], "select run, label, pred, count(*) as n from predictions_long group by run, label, pred")
+cte(
+    "pc",
+    ["cc"],
+    """select g.run, g.cls, coalesce(t.tp, 0) as tp, coalesce(t.support, 0) as support, coalesce(p.predicted, 0) as predicted
+from (select distinct run, cast(unnest(range(0, 3)) as integer) as cls from cc) g
+left join (select run, label as cls, cast(sum(n) as bigint) as support, cast(sum(case when label = pred then n else 0 end) as bigint) as tp
+           from cc group by run, label) t on g.run = t.run and g.cls = t.cls
+left join (select run, pred as cls, cast(sum(n) as bigint) as predicted from cc group by run, pred) p on g.run = p.run and g.cls = p.cls""",
+)
+cte(
+    "pcm",
+    ["pc"],
+    """select *, case when predicted > 0 then tp / predicted else 0.0 end as precision,
+  case when support > 0 then tp / support else 0.0 end as recall,
+  case when tp > 0 then 2.0::double * tp / (2 * tp + (predicted - tp) + (support - tp)) else 0.0 end as f1,
+  (support > 0 or predicted > 0) as present
+from pc""",
+)
+cte(
+    "f1m",
+    ["pcm"],
+    "select run, round(avg(f1), 6) as f1_macro from pcm where present group by run",
+)
+cte(
+    "accm",
+    ["predictions_long"],
+    "select run, count(*) as n, round(avg(case when label = pred then 1.0 else 0.0 end), 6) as accuracy from predictions_long group by run",
+)
+oracle("accuracy", ["accm"], "select run, n, accuracy from accm")
+oracle("f1_macro", ["f1m"], "select run, f1_macro from f1m")
+oracle(
+    "classification_report",
+    ["pcm"],
+    f"""select run, {NAME_SQL.format(x='cls')} as "row", round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support from pcm
+union all select run, 'accuracy', null, null, round(sum(tp) / sum(support), 6), cast(sum(support) as bigint) from pcm group by run
+union all select run, 'macro avg', round(avg(precision) filter (where present), 6), round(avg(recall) filter (where present), 6),
+  round(avg(f1) filter (where present), 6), cast(sum(support) as bigint) from pcm group by run
+union all select run, 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+  round(sum(f1 * support) / sum(support), 6), cast(sum(support) as bigint) from pcm group by run""",
+)
+oracle(
+    "confusion_matrix",
+    ["cc"],
+    f"""select g.run, g.cls as true_label, {NAME_SQL.format(x='g.cls')} as true_name,
+  cast(coalesce(sum(cc.n) filter (where cc.pred = 0), 0) as bigint) as pred_0,
+  cast(coalesce(sum(cc.n) filter (where cc.pred = 1), 0) as bigint) as pred_1,
+  cast(coalesce(sum(cc.n) filter (where cc.pred = 2), 0) as bigint) as pred_2
+from (select distinct run, cast(unnest(range(0, 3)) as integer) as cls from cc) g
+left join cc on cc.run = g.run and cc.label = g.cls
+group by g.run, g.cls""",
+)
+oracle(
+    "argmax_prediction",
+    ["predictions"],
+    "select doc_id, cast(list_position([s0, s1, s2], list_max([s0, s1, s2])) - 1 as integer) as pred from predictions",
+)
+oracle(
+    "weighted_log_loss",
+    ["predictions"],
+    """select round(sum(w * loss) / sum(w), 6) as weighted_log_loss, round(avg(loss), 6) as log_loss, count(*) as n
+from (
+  select p.label, cw.w,
+    list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) - l[p.label + 1] as loss
+  from (select label, [s0, s1, s2] as l from predictions) p
+  left join (select label, (sum(n_c) over ()) / (3.0 * n_c) as w from (select label, count(*) as n_c from predictions group by label)) cw
+    on p.label = cw.label
+)""",
+)
+oracle("select_best", ["f1m"], "select run as best, f1_macro from f1m order by f1_macro desc, run limit 1")
+oracle(
+    "compare_runs",
+    ["accm", "f1m"],
+    """select metric, round(a, 6) as run_a, round(b, 6) as run_b, round(b - a, 6) as diff,
+  round(case when a = 0 then null else b / a end, 6) as ratio,
+  round((1.0 - case when a = 0 then null else b / a end) * 100.0, 6) as pct_reduction,
+  round(case when b = 0 then null else a / b end, 6) as factor
+from (
+  select 'test_accuracy' as metric, max(accuracy) filter (where run = 'a') as a, max(accuracy) filter (where run = 'b') as b from accm
+  union all select 'test_f1_macro', max(f1_macro) filter (where run = 'a'), max(f1_macro) filter (where run = 'b') from f1m
+  union all select 'n_test', cast(max(n) filter (where run = 'a') as double), cast(max(n) filter (where run = 'b') as double) from accm
+)""",
+)
+
+# ---- ingest over fixture payload documents --------------------------------
+cte("payload_kind", ["reviews"], "select *, cast(substr(main_category, 4) as integer) % 4 as kind_no from reviews")
+oracle(
+    "ingest_payload_rows",
+    ["payload_kind"],
+    """select file_path, cast(row_number() over (partition by file_path order by pos) - 1 as integer) as _pos, review_index, raw_text
+from payload_kind where kind_no <> 3""",
+)
+oracle(
+    "ingest_payload_status",
+    ["payload_kind"],
+    """select file_path, case kind_no when 1 then 'object' when 3 then 'corrupt' else 'array' end as kind,
+  cast(case when kind_no = 3 then 0 else count(*) end as bigint) as n_rows,
+  cast(case when kind_no = 2 then 1 else 0 end as bigint) as n_skipped
+from payload_kind group by file_path, kind_no""",
+)
+oracle(
+    "ingest_provenance",
+    ["payload_kind"],
+    "select file_path, top_folder, count(*) as n_rows from payload_kind where kind_no <> 3 group by file_path, top_folder",
+)
+oracle(
+    "ingest_contract_projection",
+    ["payload_kind"],
+    """select review_index, raw_text, source, domain, main_category, product_name, polarity, file_path, top_folder,
+  cast(row_number() over (partition by file_path order by pos) - 1 as integer) as _pos,
+  cast(polarity as integer) as label_int
+from payload_kind where kind_no <> 3""",
+)
+oracle(
+    "union_by_name_sources",
+    ["reviews"],
+    """select review_index, case when top_folder = 'shop' then source end as source, domain,
+  case when top_folder = 'sns' then main_category end as main_category, top_folder, pos
+from reviews where top_folder in ('shop', 'sns')""",
+)

@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiflow.functions.labels import label_name
 from lexiflow.functions.text import clean_text, text_len
-from lexiflow.operators import prep, profile
+from lexiflow.operators import metrics, prep, profile, runs, split, tokens
 from lexiflow.plans import fixtures as fx
+from lexiflow.sources import json_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -198,3 +200,229 @@ def q_drop_empty_text(spark, sf):
 @query("prep_funnel")
 def q_prep_funnel(spark, sf):
     return prep.prep_funnel(fx.reviews_dirty(spark, sf))
+
+
+# ---- prepared rows, split -------------------------------------------------
+def _prepared(spark, sf):
+    return prep.prepare(fx.reviews(spark, sf))
+
+
+def _splits(spark, sf):
+    return split.stratified_split(split.stratify_key(_prepared(spark, sf)))
+
+
+def _tok(spark, sf):
+    return tokens.with_token_len(_prepared(spark, sf))
+
+
+@query("label_remap")
+def q_label_remap(spark, sf):
+    return _prepared(spark, sf).groupBy("polarity", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("label_names")
+def q_label_names(spark, sf):
+    g = _prepared(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("label", label_name(F.col("label")).alias("label_name"), "n")
+
+
+@query("stratify_keys")
+def q_stratify_keys(spark, sf):
+    return split.stratify_key(_prepared(spark, sf)).select("uid", "stratify_key")
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf):
+    return _splits(spark, sf).select("uid", "split")
+
+
+@query("split_sizes")
+def q_split_sizes(spark, sf):
+    return split.split_sizes(_splits(spark, sf))
+
+
+@query("split_label_share")
+def q_split_label_share(spark, sf):
+    return split.split_label_share(_splits(spark, sf))
+
+
+@query("split_invariants")
+def q_split_invariants(spark, sf):
+    return split.split_invariants(_splits(spark, sf), _prepared(spark, sf))
+
+
+# Domains kept by the domain filter of the training runs (one excluded).
+DOMAIN_FILTER = ["de", "en", "fr"]
+
+
+@query("domain_filter")
+def q_domain_filter(spark, sf):
+    return prep.filter_values(_splits(spark, sf), "domain", DOMAIN_FILTER).select("uid", "split", "domain", "label")
+
+
+@query("class_weights")
+def q_class_weights(spark, sf):
+    train = _splits(spark, sf).filter(F.col("split") == "train")
+    return metrics.class_weights(train).withColumn("weight", F.round("weight", 6))
+
+
+# ---- tokens ---------------------------------------------------------------
+@query("token_len")
+def q_token_len(spark, sf):
+    return _tok(spark, sf).select("uid", "token_len")
+
+
+@query("token_describe")
+def q_token_describe(spark, sf):
+    return profile.describe(_tok(spark, sf), "token_len")
+
+
+@query("token_quantiles")
+def q_token_quantiles(spark, sf):
+    return profile.quantiles(_tok(spark, sf), "token_len")
+
+
+@query("token_stats_by_domain")
+def q_token_stats_by_domain(spark, sf):
+    return profile.group_stats(_tok(spark, sf), "domain", "token_len", qs=(0.9, 0.95))
+
+
+@query("truncation_overall")
+def q_truncation_overall(spark, sf):
+    return tokens.truncation_overall(_tok(spark, sf))
+
+
+@query("truncation_by_domain")
+def q_truncation_by_domain(spark, sf):
+    return tokens.truncation_by(_tok(spark, sf), "domain")
+
+
+# the reference candidates, extended so that the "<= 5 %" branch is reachable on long texts
+RECOMMEND_CANDIDATES = tokens.CANDIDATE_MAX_LENGTHS + (512, 768, 1024, 1536, 2048, 3072, 4096)
+
+
+@query("recommend_max_length")
+def q_recommend_max_length(spark, sf):
+    return tokens.recommend_max_length(_tok(spark, sf), RECOMMEND_CANDIDATES)
+
+
+@query("truncate_tokens")
+def q_truncate_tokens(spark, sf):
+    d = tokens.with_truncated(_prepared(spark, sf), tokens.MAX_LENGTH)
+    return d.select("uid", F.size("input_tokens").alias("kept_len"), F.array_join("input_tokens", " ").alias("truncated"))
+
+
+@query("padding_share")
+def q_padding_share(spark, sf):
+    return tokens.padding_share(_tok(spark, sf), tokens.MAX_LENGTH)
+
+
+@query("vocab_top")
+def q_vocab_top(spark, sf):
+    return tokens.build_vocab(_prepared(spark, sf), 50)
+
+
+@query("wordpiece_len")
+def q_wordpiece_len(spark, sf):
+    p = _prepared(spark, sf)
+    vocab = tokens.wordpiece_vocab(p, n_words=2000, n_chars=300)
+    return tokens.wordpiece_len(p, vocab).select("uid", "wp_len")
+
+
+# ---- metrics over fixture predictions ------------------------------------
+@query("accuracy")
+def q_accuracy(spark, sf):
+    return metrics.accuracy(fx.predictions_long(spark, sf))
+
+
+@query("f1_macro")
+def q_f1_macro(spark, sf):
+    return metrics.f1_macro(fx.predictions_long(spark, sf))
+
+
+@query("classification_report")
+def q_classification_report(spark, sf):
+    return metrics.classification_report(fx.predictions_long(spark, sf))
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    return metrics.confusion_matrix(fx.predictions_long(spark, sf))
+
+
+@query("argmax_prediction")
+def q_argmax_prediction(spark, sf):
+    p = fx.predictions(spark, sf).withColumn("scores", F.array("s0", "s1", "s2"))
+    return metrics.argmax_prediction(p, "scores").select("doc_id", "pred")
+
+
+@query("weighted_log_loss")
+def q_weighted_log_loss(spark, sf):
+    p = fx.predictions(spark, sf).withColumn("scores", F.array("s0", "s1", "s2"))
+    return metrics.weighted_log_loss(p, "scores", "label", metrics.class_weights(p))
+
+
+@query("select_best")
+def q_select_best(spark, sf):
+    return metrics.select_best(fx.predictions_long(spark, sf))
+
+
+def _fixture_runs(spark, sf):
+    pl = fx.predictions_long(spark, sf)
+    acc = metrics.accuracy(pl)
+    f1 = metrics.f1_macro(pl)
+    return acc.join(f1, "run").select(
+        F.col("run").alias("run_tag"),
+        F.col("accuracy").alias("test_accuracy"),
+        F.col("f1_macro").alias("test_f1_macro"),
+        F.col("n").alias("n_test"),
+    )
+
+
+@query("compare_runs")
+def q_compare_runs(spark, sf):
+    return runs.compare_runs(_fixture_runs(spark, sf), "a", "b", ("test_accuracy", "test_f1_macro", "n_test"))
+
+
+# ---- ingest over fixture payload documents --------------------------------
+PAYLOAD_ROOT = "/data/reviews"
+
+
+def _exploded(spark, sf):
+    raw = fx.payloads(spark, sf, PAYLOAD_ROOT)
+    return json_ingest.with_provenance(json_ingest.explode_payloads(raw), PAYLOAD_ROOT)
+
+
+@query("ingest_payload_rows")
+def q_ingest_payload_rows(spark, sf):
+    d = _exploded(spark, sf)
+    return d.select(
+        "file_path",
+        "_pos",
+        F.try_variant_get("_row", "$.Index", "string").alias("review_index"),
+        F.try_variant_get("_row", "$.RawText", "string").alias("raw_text"),
+    )
+
+
+@query("ingest_payload_status")
+def q_ingest_payload_status(spark, sf):
+    st = json_ingest.payload_status(fx.payloads(spark, sf, PAYLOAD_ROOT))
+    return json_ingest.with_provenance(st, PAYLOAD_ROOT).select("file_path", "kind", "n_rows", "n_skipped")
+
+
+@query("ingest_provenance")
+def q_ingest_provenance(spark, sf):
+    return _exploded(spark, sf).groupBy("file_path", "top_folder").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("ingest_contract_projection")
+def q_ingest_contract_projection(spark, sf):
+    return json_ingest.project_contract(_exploded(spark, sf))
+
+
+@query("union_by_name_sources")
+def q_union_by_name_sources(spark, sf):
+    r = fx.reviews(spark, sf)
+    shop = r.filter(F.col("top_folder") == "shop").select("review_index", "source", "domain", "top_folder", "pos")
+    sns = r.filter(F.col("top_folder") == "sns").select("review_index", "domain", "main_category", "top_folder", "pos")
+    return shop.unionByName(sns, allowMissingColumns=True)

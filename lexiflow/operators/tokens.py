@@ -109,7 +109,7 @@ def wordpiece_vocab(df: DataFrame, n_words: int = 8000, n_chars: int = 2000, tex
     counts = token_counts(df, text)
     words = counts.orderBy(F.desc("n"), F.asc("token")).limit(n_words).select(F.col("token").alias("piece"))
     chars = (
-        counts.select(F.explode(F.split("token", "(?!^)")).alias("ch"), "n")
+        counts.select(F.explode(F.regexp_extract_all("token", F.lit("(?s)."), 0)).alias("ch"), "n")
         .groupBy("ch")
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), F.asc("ch"))

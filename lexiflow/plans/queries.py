@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.functions.labels import label_name
 from lexiflow.functions.text import clean_text, text_len
-from lexiflow.operators import metrics, prep, profile, runs, split, tokens
+from lexiflow.operators import metrics, model, prep, profile, runs, split, tokens
 from lexiflow.plans import fixtures as fx
 from lexiflow.sources import json_ingest
 
@@ -426,3 +426,14 @@ def q_union_by_name_sources(spark, sf):
     shop = r.filter(F.col("top_folder") == "shop").select("review_index", "source", "domain", "top_folder", "pos")
     sns = r.filter(F.col("top_folder") == "sns").select("review_index", "domain", "main_category", "top_folder", "pos")
     return shop.unionByName(sns, allowMissingColumns=True)
+
+
+# ---- training (pyspark.ml), rows-only checks ------------------------------
+@query("train_predict")
+def q_train_predict(spark, sf):
+    return model.train_predict(_splits(spark, sf))
+
+
+@query("train_compare")
+def q_train_compare(spark, sf):
+    return model.train_compare(_splits(spark, sf), domain_filter=DOMAIN_FILTER, max_length=tokens.MAX_LENGTH)

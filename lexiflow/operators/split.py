@@ -12,12 +12,25 @@ integer arithmetic.  Inside a stratum rows are ordered by
 ``valid_q`` to valid, the rest to train.
 
 Scale: there are only a handful of strata, so ``row_number() over
-(partition by stratum)`` would sort the corpus in a handful of tasks.  The
-default ``method="bucket"`` ranks inside (stratum, hash prefix) buckets
-instead (16^digits buckets per stratum, uniform by construction of md5) and
-adds the row count of all earlier buckets of the stratum, taken from a
-small per-bucket count table.  The rank is exactly the global rank; rows
-shuffle once, by (stratum, prefix), and no task holds a whole stratum.
+(partition by stratum)`` would sort the corpus in a handful of tasks, and
+joining the per-stratum tables back to the rows would shuffle the wide rows
+(text included).  The default ``method="select"`` avoids both:
+
+1. the stratum count table (one row per stratum) is collected behind a size
+   guard (``MAX_STRATA``) -- that check is what makes the later broadcasts
+   safe;
+2. rows are bucketed by a hash prefix (``digits`` hex digits, chosen from
+   the largest stratum), bucket counts are aggregated (map-side combined),
+   and a cumulative count per stratum says which rank range every bucket
+   covers; that table has at most strata x 16^digits rows and is broadcast;
+3. a bucket that lies inside one split's range assigns all its rows by a
+   comparison (no shuffle); only the rows of the <= 2 boundary buckets per
+   stratum are ranked, by a window over (stratum, bucket).
+
+``method="bucket"`` ranks every row inside (stratum, bucket) windows with
+joins left to AQE (for an unbounded number of strata); ``method="rank"``
+is the plain single window, kept as the reference in tests.  All methods
+give the same assignment.
 """
 
 from __future__ import annotations
@@ -32,19 +45,39 @@ from lexiflow.functions.labels import LABEL_TO_NAME, label_name
 SPLITS = ("train", "valid", "test")
 
 
+MAX_STRATA = 100_000
+MAX_BUCKET_ROWS = 2_000_000
+ROWS_PER_BUCKET = 50_000
+
+
+def _small_rows(df: DataFrame, limit: int):
+    """Collect a table that should be small; ``None`` if it has more than ``limit`` rows."""
+    rows = df.limit(limit + 1).collect()
+    return None if len(rows) > limit else rows
+
+
 def stratify_key(df: DataFrame, cols: Sequence[str] = ("label", "domain"), min_count: int = 3) -> DataFrame:
-    """Add ``stratify_key`` = 'label_domain' (missing parts as 'nan'); rare keys fall back to the first column."""
+    """Add ``stratify_key`` = 'label_domain' (missing parts as 'nan'); rare keys fall back to the first column.
+
+    The key-count table (one row per raw key) is checked to be small and
+    broadcast, so the rows are never shuffled by key.
+    """
     first = F.col(cols[0]).cast("string")
     parts = [F.coalesce(first, F.lit("nan"))]
     for c in cols[1:]:
         parts += [F.lit("_"), F.coalesce(F.col(c).cast("string"), F.lit("nan"))]
     d = df.withColumn("_raw_key", F.concat(*parts))
-    counts = d.groupBy("_raw_key").agg(F.count(F.lit(1)).alias("_key_n"))
-    out = d.join(counts, "_raw_key").withColumn(
-        "stratify_key",
-        F.when(F.col("_key_n") < min_count, F.coalesce(first, F.lit("nan"))).otherwise(F.col("_raw_key")),
+    counts = d.groupBy("_raw_key", F.coalesce(first, F.lit("nan")).alias("_fallback")).agg(F.count(F.lit(1)).alias("_key_n"))
+    mapping = counts.select(
+        "_raw_key", F.when(F.col("_key_n") < min_count, F.col("_fallback")).otherwise(F.col("_raw_key")).alias("stratify_key")
     )
-    return out.drop("_raw_key", "_key_n")
+    rows = _small_rows(mapping, MAX_STRATA)
+    if rows is not None:
+        small = df.sparkSession.createDataFrame(rows, "_raw_key string, stratify_key string")
+        out = d.join(F.broadcast(small), "_raw_key")
+    else:
+        out = d.join(mapping, "_raw_key")
+    return out.drop("_raw_key")
 
 
 def stratum_quotas(sizes: DataFrame, key: str = "stratify_key", ratios: Sequence[int] = (8, 1, 1)) -> DataFrame:
@@ -80,14 +113,9 @@ def split_hash(uid: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), uid))
 
 
-def _rank_in_stratum(df: DataFrame, key: str, uid: str, seed: int, method: str, digits: int) -> DataFrame:
-    d = df.withColumn("_h", split_hash(F.col(uid), seed))
-    if method == "rank":
-        w = Window.partitionBy(key).orderBy("_h", uid)
-        return d.withColumn("_rank", F.row_number().over(w))
-    if method != "bucket":
-        raise ValueError("method must be 'bucket' or 'rank'")
-    d = d.withColumn("_b", F.substring("_h", 1, digits))
+def _rank_in_stratum(df: DataFrame, key: str, uid: str, digits: int) -> DataFrame:
+    """Exact rank inside the stratum, computed per (stratum, bucket) window plus earlier-bucket counts."""
+    d = df.withColumn("_b", F.substring("_h", 1, digits))
     buckets = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_bn"))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
@@ -96,25 +124,75 @@ def _rank_in_stratum(df: DataFrame, key: str, uid: str, seed: int, method: str,
     return d.drop("_b", "_before")
 
 
+def _assign(rank: Column) -> Column:
+    return (
+        F.when(rank <= F.col("test_q"), F.lit("test"))
+        .when(rank <= F.col("test_q") + F.col("valid_q"), F.lit("valid"))
+        .otherwise(F.lit("train"))
+    )
+
+
+def choose_digits(max_stratum: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Fewest hex digits so that a bucket of the largest stratum holds ~rows_per_bucket rows."""
+    d = 1
+    while d < 6 and max_stratum / (16**d) > rows_per_bucket:
+        d += 1
+    return d
+
+
 def stratified_split(
     df: DataFrame,
     key: str = "stratify_key",
     uid: str = "uid",
     ratios: Sequence[int] = (8, 1, 1),
     seed: int = 42,
-    method: str = "bucket",
-    digits: int = 4,
+    method: str = "select",
+    digits: int | None = None,
 ) -> DataFrame:
     """Add ``split`` in {train, valid, test} to every row of ``df``."""
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("c"))
+    spark = df.sparkSession
+    d = df.withColumn("_h", split_hash(F.col(uid), seed))
+    sizes = d.groupBy(key).agg(F.count(F.lit(1)).alias("c"))
+    rows = _small_rows(sizes, MAX_STRATA) if method == "select" else None
+    if rows is not None:
+        sizes = spark.createDataFrame(rows, sizes.schema)
+        if digits is None:
+            digits = choose_digits(max([r["c"] for r in rows], default=1))
+        if len(rows) * 16**digits > MAX_BUCKET_ROWS:
+            rows = None
+    if method == "select" and rows is None:
+        method = "bucket"
     quotas = stratum_quotas(sizes, key, ratios).select(key, "valid_q", "test_q")
-    ranked = _rank_in_stratum(df, key, uid, seed, method, digits).join(quotas, key)
-    split = (
-        F.when(F.col("_rank") <= F.col("test_q"), F.lit("test"))
-        .when(F.col("_rank") <= F.col("test_q") + F.col("valid_q"), F.lit("valid"))
-        .otherwise(F.lit("train"))
+    cols = df.columns + ["split"]
+    if method == "rank":
+        w = Window.partitionBy(key).orderBy("_h", uid)
+        ranked = d.withColumn("_rank", F.row_number().over(w)).join(quotas, key)
+        return ranked.withColumn("split", _assign(F.col("_rank"))).select(*cols)
+    if method == "bucket":
+        ranked = _rank_in_stratum(d, key, uid, digits or 4).join(quotas, key)
+        return ranked.withColumn("split", _assign(F.col("_rank"))).select(*cols)
+    if method != "select":
+        raise ValueError("method must be 'select', 'bucket' or 'rank'")
+
+    # bucket table: at most len(strata) * 16^digits rows (checked above) -> broadcast
+    d = d.withColumn("_b", F.substring("_h", 1, digits))
+    counts = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    table = counts.join(F.broadcast(quotas), key).withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
+    first, last = F.col("_before") + 1, F.col("_before") + F.col("_bn")
+    cut1, cut2 = F.col("test_q"), F.col("test_q") + F.col("valid_q")
+    whole = (
+        F.when(last <= cut1, F.lit("test"))
+        .when((first > cut1) & (last <= cut2), F.lit("valid"))
+        .when(first > cut2, F.lit("train"))
     )
-    return ranked.withColumn("split", split).drop("_h", "_rank", "valid_q", "test_q")
+    table = table.select(key, "_b", "_before", "valid_q", "test_q", whole.alias("_whole"))
+    joined = d.join(F.broadcast(table), [key, "_b"])
+    decided = joined.filter(F.col("_whole").isNotNull()).withColumn("split", F.col("_whole"))
+    edge = joined.filter(F.col("_whole").isNull())
+    inner = Window.partitionBy(key, "_b").orderBy("_h", uid)
+    edge = edge.withColumn("split", _assign(F.col("_before") + F.row_number().over(inner)))
+    return decided.select(*cols).unionByName(edge.select(*cols))
 
 
 def split_sizes(splits: DataFrame) -> DataFrame:
@@ -129,20 +207,23 @@ def split_label_share(splits: DataFrame, label: str = "label", names=LABEL_TO_NA
 
 
 def split_invariants(splits: DataFrame, source: DataFrame, uid: str = "uid") -> DataFrame:
-    """Checks that must all be 0: pairwise overlaps of the splits (intersectAll),
-    rows of the input missing from the splits and extra rows (exceptAll both ways)."""
-    ids = {s: splits.filter(F.col("split") == s).select(uid) for s in SPLITS}
-    every = splits.select(uid)
-    src = source.select(uid)
+    """Checks that must all be 0, as (check, n).
+
+    Pairwise overlaps are the sizes of ``intersectAll`` of the split uid
+    lists, 'missing'/'extra' the sizes of ``exceptAll`` between the input and
+    the union of the splits.  All five multiset sizes come from one grouped
+    count per uid (sum of min / positive differences of the per-uid
+    multiplicities) -- one narrow shuffle instead of five set operations.
+    """
+    tagged = splits.select(uid, F.col("split").alias("_t")).unionByName(source.select(uid, F.lit("_source").alias("_t")))
+    per = tagged.groupBy(uid).agg(*[F.count_if(F.col("_t") == t).alias(f"_{t}") for t in (*SPLITS, "_source")])
+    in_splits = F.col("_train") + F.col("_valid") + F.col("_test")
     checks = {
-        "train_valid_overlap": ids["train"].intersectAll(ids["valid"]),
-        "train_test_overlap": ids["train"].intersectAll(ids["test"]),
-        "valid_test_overlap": ids["valid"].intersectAll(ids["test"]),
-        "missing_from_splits": src.exceptAll(every),
-        "extra_in_splits": every.exceptAll(src),
+        "train_valid_overlap": F.least("_train", "_valid"),
+        "train_test_overlap": F.least("_train", "_test"),
+        "valid_test_overlap": F.least("_valid", "_test"),
+        "missing_from_splits": F.greatest(F.col("__source") - in_splits, F.lit(0)),
+        "extra_in_splits": F.greatest(in_splits - F.col("__source"), F.lit(0)),
     }
-    out = None
-    for name, frame in checks.items():
-        part = frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    wide = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name) for name, c in checks.items()])
+    return wide.unpivot([], list(checks), "check", "n")

@@ -16,7 +16,7 @@ from lexiflow.functions.labels import label_name
 from lexiflow.functions.text import clean_text, text_len
 from lexiflow.operators import metrics, model, prep, profile, runs, split, tokens
 from lexiflow.plans import fixtures as fx
-from lexiflow.sources import json_ingest
+from lexiflow.sources import json_ingest, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -207,8 +207,14 @@ def _prepared(spark, sf):
     return prep.prepare(fx.reviews(spark, sf))
 
 
+def _prepared_table(spark, sf):
+    """Prepared rows written once to the shared checkpoint folder (lineage cut;
+    later steps read only the columns they need)."""
+    return tables.materialize(_prepared(spark, sf), "prepared")
+
+
 def _splits(spark, sf):
-    return split.stratified_split(split.stratify_key(_prepared(spark, sf)))
+    return split.stratified_split(split.stratify_key(_prepared_table(spark, sf)))
 
 
 def _tok(spark, sf):
@@ -228,7 +234,7 @@ def q_label_names(spark, sf):
 
 @query("stratify_keys")
 def q_stratify_keys(spark, sf):
-    return split.stratify_key(_prepared(spark, sf)).select("uid", "stratify_key")
+    return split.stratify_key(_prepared_table(spark, sf)).select("uid", "stratify_key")
 
 
 @query("stratified_split")
@@ -248,7 +254,8 @@ def q_split_label_share(spark, sf):
 
 @query("split_invariants")
 def q_split_invariants(spark, sf):
-    return split.split_invariants(_splits(spark, sf), _prepared(spark, sf))
+    p = _prepared_table(spark, sf)
+    return split.split_invariants(split.stratified_split(split.stratify_key(p)), p)
 
 
 # Domains kept by the domain filter of the training runs (one excluded).

@@ -85,3 +85,21 @@ def dir_size_mb(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"),
         (F.coalesce(F.sum("length"), F.lit(0)) / (1024.0 * 1024.0)).alias("size_mb"),
     )
+
+
+def materialize(df: DataFrame, name: str, partition_by: str | list[str] | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared ``spark.checkpoint.dir`` and read it back.
+
+    Cuts lineage (a lost executor re-reads files instead of recomputing the
+    pipeline), lets later steps read only the columns they need, and with
+    ``partition_by`` lets readers of one partition value skip the others.
+    """
+    import uuid
+
+    from lexiflow.session import checkpoint_dir
+
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/lexiflow-tables/{name}-{uuid.uuid4().hex[:12]}"
+    write_table(df, path, fmt="parquet", partition_by=partition_by)
+    return spark.read.parquet(path)

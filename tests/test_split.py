@@ -82,3 +82,17 @@ def test_quota_totals(spark):
     assert sum(r.valid_q + r.test_q for r in q) == -(-n * 2 // 10)
     assert sum(r.test_q for r in q) == -(-(-(-n * 2 // 10)) // 2)
     assert all(r.train_q + r.valid_q + r.test_q == r.c and min(r.train_q, r.valid_q, r.test_q) >= 0 for r in q)
+
+
+def test_methods_agree_and_invariants_match_setops(spark, keyed):
+    sel = split.stratified_split(keyed, method="select", digits=2)
+    a = {r.uid: r.split for r in sel.collect()}
+    b = {r.uid: r.split for r in split.stratified_split(keyed, method="bucket", digits=2).collect()}
+    assert a == b
+    # a deliberately broken split: one train uid also listed as valid
+    broken = sel.filter("split = 'train'").limit(1).withColumn("split", split.F.lit("valid")).unionByName(sel)
+    inv = {r.check: r.n for r in split.split_invariants(broken, keyed).collect()}
+    ids = {s: broken.filter(split.F.col("split") == s).select("uid") for s in split.SPLITS}
+    assert inv["train_valid_overlap"] == ids["train"].intersectAll(ids["valid"]).count() == 1
+    assert inv["extra_in_splits"] == broken.select("uid").exceptAll(keyed.select("uid")).count() == 1
+    assert inv["missing_from_splits"] == keyed.select("uid").exceptAll(broken.select("uid")).count() == 0

@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The whitespace class of Python's str.strip / re \s on str
-# (code points U+0009-000D, 001C-0020, 0085, 00A0, 1680, 2000-200A, 2028,
-# 2029, 202F, 205F, 3000).  Written with \x{..} escapes so the same pattern
-# text works in Java regex (Spark) and RE2 (the DuckDB oracle).
-WS_CLASS = (
-    r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# The whitespace of Python's str.strip / re \s on str, as
+# inclusive code point ranges.
+WS_RANGES = (
+    (0x09, 0x0D),
+    (0x1C, 0x20),
+    (0x85, 0x85),
+    (0xA0, 0xA0),
+    (0x1680, 0x1680),
+    (0x2000, 0x200A),
+    (0x2028, 0x2029),
+    (0x202F, 0x202F),
+    (0x205F, 0x205F),
+    (0x3000, 0x3000),
 )
 
+# The same set as a regex class with \x{..} escapes (valid in Java regex and
+# in RE2, the DuckDB oracle) and as a plain string of characters.
+WS_CLASS = "[" + "".join(
+    f"\\x{{{lo:02x}}}" if lo == hi else f"\\x{{{lo:02x}}}-\\x{{{hi:02x}}}" for lo, hi in WS_RANGES
+) + "]"
+WS_CHARS = "".join(chr(c) for lo, hi in WS_RANGES for c in range(lo, hi + 1))
+
 # One token = a run of letters/digits, or one other non-space character.
 # Applied to cleaned text, where the only whitespace left is U+0020.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N} ]"
@@ -43,7 +56,8 @@ def text_len(col) -> Column:
 def is_blank(col) -> Column:
     """Non-null text that is empty after a Unicode strip."""
     c = _c(col)
-    return c.isNotNull() & (clean_text(c) == F.lit(""))
+    # btrim stops at the first non-space character from each end
+    return c.isNotNull() & (F.length(F.btrim(c, F.lit(WS_CHARS))) == 0)
 
 
 def token_count(col, n_special: int = N_SPECIAL) -> Column:

@@ -53,7 +53,9 @@ def value_counts(df: DataFrame, col: str, dropna: bool = True, normalize: bool =
     d = df.filter(F.col(col).isNotNull()) if dropna else df
     out = d.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     if normalize:
-        out = out.withColumn("pct", r6(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())))
+        # the total is a scalar subquery: no single-partition window over all values
+        total = d.agg(F.count(F.lit(1))).scalar()
+        out = out.withColumn("pct", r6(F.col("n") * 100.0 / total))
     return out
 
 

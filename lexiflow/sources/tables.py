@@ -42,7 +42,18 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
     raise ValueError(f"unknown format {fmt!r}")
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | list[str] | None = None, mode: str = "overwrite") -> None:
+def write_table(
+    df: DataFrame,
+    path: str,
+    fmt: str = "parquet",
+    partition_by: str | list[str] | None = None,
+    mode: str = "overwrite",
+    bom: bool = False,
+) -> None:
+    """Write a stage table.  ``bom=True`` (CSV) starts every part file's header
+    with a UTF-8 byte-order mark, as spreadsheet tools expect."""
+    if fmt == "csv" and bom and df.columns:
+        df = df.withColumnRenamed(df.columns[0], BOM + df.columns[0])
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
@@ -76,6 +87,14 @@ def label_map_record(spark: SparkSession, names: Mapping[int, str] = LABEL_TO_NA
     return spark.range(1).select(to_id.alias("label2id"), id2.alias("id2label"))
 
 
+def read_label_map(spark: SparkSession, path: str) -> DataFrame:
+    """(label INT, label_name) rows from a label-map record; JSON keys are text, ids come back as integers."""
+    rec = spark.read.schema("label2id map<string,int>, id2label map<string,string>").json(path)
+    return rec.select(F.explode("id2label").alias("k", "label_name")).select(
+        F.col("k").cast("int").alias("label"), "label_name"
+    )
+
+
 def dir_size_mb(spark: SparkSession, path: str) -> DataFrame:
     """Total bytes of all files under ``path`` in MB (1024^2): a binary-file scan
     that reads only file lengths (``content`` is pruned), summed on the cluster."""

@@ -82,3 +82,30 @@ def test_argmax_and_nll(spark):
         expect = np.log(np.exp(a - a.max()).sum()) + a.max() - a[y]
         assert abs(r.l - expect) < 1e-12
     assert F is not None
+
+
+def test_is_blank(spark):
+    from lexiflow.functions import is_blank
+
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(ODD)], "i int, s string")
+    got = {r.i: r.b for r in df.select("i", is_blank("s").alias("b")).collect()}
+    for i, s in enumerate(ODD):
+        assert got[i] == (s is not None and s.strip() == ""), repr(s)
+
+
+def test_strict_label_check_and_position_uid(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from lexiflow.operators import prep
+
+    rows = [("f.json", None, "hi", "1", 0), ("f.json", None, "yo", "7", 1), ("f.json", "3", "ok", "-1", 2)]
+    df = spark.createDataFrame(rows, "file_path string, review_index string, raw_text string, polarity string, pos int")
+    df = df.selectExpr("*", "'d' as domain", "'c' as main_category", "'shop' as source")
+    # default: both null-Index rows share uid 'f.json::nan' and the first one is kept
+    assert prep.prepare(df).count() == 2
+    # 'position' keys null-Index rows by array position instead
+    kept = prep.staged(df, null_index="position").select("uid").collect()
+    assert sorted(r.uid for r in kept) == ["f.json::#0", "f.json::#1", "f.json::3"]
+    with pytest.raises(PySparkException):
+        prep.prepare(df, strict=True, null_index="position").collect()

@@ -136,3 +136,18 @@ def test_streaming_ingest(spark, tree, tmpdir_path):
     batch = ji.load_reviews(spark, tree).select("review_index").collect()
     streamed = spark.read.parquet(out).select("review_index", "text").collect()
     assert sorted(r.review_index for r in streamed) == sorted(r.review_index for r in batch)
+
+
+def test_csv_bom_export_and_label_map(spark, tmpdir_path):
+    df = spark.createDataFrame([("f::1", 'a, "b"\nc', 2)], "uid string, text string, label int")
+    out = os.path.join(tmpdir_path, "csv")
+    tables.write_table(df, out, fmt="csv", bom=True)
+    part = [f for f in os.listdir(out) if f.endswith(".csv")][0]
+    with open(os.path.join(out, part), "rb") as f:
+        assert f.read(3) == b"\xef\xbb\xbf"
+    back = tables.read_table(spark, out, fmt="csv")
+    assert back.columns == ["uid", "text", "label"] and back.first().text == 'a, "b"\nc'
+    lm = os.path.join(tmpdir_path, "label_map")
+    tables.write_record(tables.label_map_record(spark), lm)
+    rows = {r.label: r.label_name for r in tables.read_label_map(spark, lm).collect()}
+    assert sorted(rows) == [0, 1, 2]

@@ -1,0 +1,34 @@
+"""Joins of large row sets with small derived tables (one row per group or stratum).
+
+A table derived by aggregation (per-group quartiles, per-group ranges, key
+maps) is small when the number of groups is small -- but that is a property
+of the data, not a guarantee.  ``join_small`` makes it a checked bound: the
+table is computed once and collected behind a row limit; within the limit it
+is joined as a broadcast local relation (the rows are never shuffled, and a
+group holding a third of all rows costs nothing extra); beyond it the plan
+falls back to a regular join, which AQE plans with skew splitting.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_SMALL_ROWS = 100_000
+
+
+def collect_small(small: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame | None:
+    """The table as a local relation if it has at most ``max_rows`` rows, else ``None``."""
+    rows = small.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    return small.sparkSession.createDataFrame(rows, small.schema)
+
+
+def join_small(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner", max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
+    local = collect_small(small, max_rows)
+    if local is None:
+        return big.join(small, on, how)
+    return big.join(F.broadcast(local), on, how)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions.text import is_blank
+from lexiflow.operators.joins import collect_small, join_small
 
 DIGITS = 6
 
@@ -132,8 +133,8 @@ def duplicate_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def box_stats(df: DataFrame, by: str, col: str, whis: float = 1.5) -> DataFrame:
     """Box-plot numbers per group: quartiles, and whiskers at the farthest value within
     ``whis``·IQR of the box (never inside the box), as matplotlib draws them with
-    fliers hidden.  Two aggregates; the per-group quartile table joins back by key
-    (AQE broadcasts it when its measured size is small)."""
+    fliers hidden.  Two aggregates; the per-group quartile table (one row per
+    group) is joined back as a size-checked broadcast (``join_small``)."""
     c = F.col(col)
     d = df.filter(F.col(by).isNotNull() & c.isNotNull())
     q = d.groupBy(by).agg(F.count(c).alias("n"), F.percentile(c, [0.25, 0.5, 0.75]).alias("_q"))
@@ -141,7 +142,7 @@ def box_stats(df: DataFrame, by: str, col: str, whis: float = 1.5) -> DataFrame:
     iqr = F.col("q3") - F.col("q1")
     lo = F.col("q1") - whis * iqr
     hi = F.col("q3") + whis * iqr
-    w = d.join(q, by).groupBy(by, "n", "q1", "median", "q3").agg(
+    w = join_small(d, q, by).groupBy(by, "n", "q1", "median", "q3").agg(
         F.min(F.when(c >= lo, c)).alias("_lo"),
         F.max(F.when(c <= hi, c)).alias("_hi"),
     )
@@ -164,7 +165,8 @@ def histogram(df: DataFrame, by: str, col: str, bins: int = 50, clip_q: float |
     (numpy widens the range by 1/2).  Integer arithmetic, so edges are exact.
     ``n_total`` is the group size before clipping.  All bins are emitted,
     empty ones with 0.  The global quantile is a scalar subquery (one extra
-    small job), not a cross join or a single-partition window.
+    small job), not a cross join or a single-partition window; the per-group
+    range table is joined as a size-checked broadcast.
     """
     c = F.col(col)
     d = df.filter(F.col(by).isNotNull() & c.isNotNull())
@@ -176,8 +178,15 @@ def histogram(df: DataFrame, by: str, col: str, bins: int = 50, clip_q: float |
     span = F.col("hi") - F.col("lo")
     step = F.expr(f"((`{col}` - lo) * {int(bins)}) div (hi - lo)")
     b = F.when(span == 0, F.lit(bins // 2)).otherwise(F.least(step, F.lit(bins - 1)))
-    counts = d.join(rng, by).groupBy(by, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    grid = rng.join(totals, by).select(by, "lo", "hi", "n_total", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    info = rng.join(totals, by)
+    local = collect_small(info)
+    if local is not None:  # one row per group, size checked: broadcast, computed once
+        info = local
+        joined = d.join(F.broadcast(local.select(by, "lo", "hi")), by)
+    else:
+        joined = d.join(info.select(by, "lo", "hi"), by)
+    counts = joined.groupBy(by, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    grid = info.select(by, "lo", "hi", "n_total", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")).cast("double") / bins
     return grid.join(counts, [by, "bin"], "left").select(
         by,

@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions.labels import LABEL_TO_NAME, label_name
+from lexiflow.operators.joins import join_small
 
 SPLITS = ("train", "valid", "test")
 
@@ -71,13 +72,7 @@ def stratify_key(df: DataFrame, cols: Sequence[str] = ("label", "domain"), min_c
     mapping = counts.select(
         "_raw_key", F.when(F.col("_key_n") < min_count, F.col("_fallback")).otherwise(F.col("_raw_key")).alias("stratify_key")
     )
-    rows = _small_rows(mapping, MAX_STRATA)
-    if rows is not None:
-        small = df.sparkSession.createDataFrame(rows, "_raw_key string, stratify_key string")
-        out = d.join(F.broadcast(small), "_raw_key")
-    else:
-        out = d.join(mapping, "_raw_key")
-    return out.drop("_raw_key")
+    return join_small(d, mapping, "_raw_key", max_rows=MAX_STRATA).drop("_raw_key")
 
 
 def stratum_quotas(sizes: DataFrame, key: str = "stratify_key", ratios: Sequence[int] = (8, 1, 1)) -> DataFrame:

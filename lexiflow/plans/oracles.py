@@ -583,7 +583,7 @@ oracle(
     "ingest_contract_projection",
     ["payload_kind"],
     """select review_index, raw_text, source, domain, main_category, product_name, polarity, file_path, top_folder,
-  cast(row_number() over (partition by file_path order by pos) - 1 as integer) as _pos,
+  cast(row_number() over (partition by file_path order by pos) - 1 as integer) as pos,
   cast(polarity as integer) as label_int
 from payload_kind where kind_no <> 3""",
 )

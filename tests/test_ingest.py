@@ -59,7 +59,7 @@ def test_contract_rows(spark, tree):
     by_idx = {r.review_index: r for r in rows}
     assert set(by_idx) == {"1", "2", "3", "4", "5", "6", "8", "9"}
     assert by_idx["1"].file_path == "a/b/array.json" and by_idx["1"].top_folder == "a"
-    assert by_idx["5"]._pos == 1 and by_idx["5"].top_folder == "c"
+    assert by_idx["5"].pos == 1 and by_idx["5"].top_folder == "c"
     # label rule: text must be an integer, numbers truncate
     assert by_idx["1"].label_int == 1
     assert by_idx["2"].label_int == -1 and by_idx["2"].polarity == "-1"

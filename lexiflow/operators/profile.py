@@ -137,23 +137,25 @@ def box_stats(df: DataFrame, by: str, col: str, whis: float = 1.5) -> DataFrame:
     group) is joined back as a size-checked broadcast (``join_small``)."""
     c = F.col(col)
     d = df.filter(F.col(by).isNotNull() & c.isNotNull())
-    q = d.groupBy(by).agg(F.count(c).alias("n"), F.percentile(c, [0.25, 0.5, 0.75]).alias("_q"))
-    q = q.select(by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    iqr = F.col("q3") - F.col("q1")
-    lo = F.col("q1") - whis * iqr
-    hi = F.col("q3") + whis * iqr
-    w = join_small(d, q, by).groupBy(by, "n", "q1", "median", "q3").agg(
-        F.min(F.when(c >= lo, c)).alias("_lo"),
-        F.max(F.when(c <= hi, c)).alias("_hi"),
+    d = d.select(by, c.alias("_v"))
+    v = F.col("_v")
+    q = d.groupBy(by).agg(F.count(v).alias("_n"), F.percentile(v, [0.25, 0.5, 0.75]).alias("_q"))
+    q = q.select(by, "_n", F.col("_q")[0].alias("_q1"), F.col("_q")[1].alias("_q2"), F.col("_q")[2].alias("_q3"))
+    iqr = F.col("_q3") - F.col("_q1")
+    lo = F.col("_q1") - whis * iqr
+    hi = F.col("_q3") + whis * iqr
+    w = join_small(d, q, by).groupBy(by, "_n", "_q1", "_q2", "_q3").agg(
+        F.min(F.when(v >= lo, v)).alias("_lo"),
+        F.max(F.when(v <= hi, v)).alias("_hi"),
     )
     return w.select(
         by,
-        "n",
-        r6(F.col("q1")).alias("q1"),
-        r6(F.col("median")).alias("median"),
-        r6(F.col("q3")).alias("q3"),
-        r6(F.least(F.coalesce(F.col("_lo").cast("double"), F.col("q1")), F.col("q1"))).alias("whislo"),
-        r6(F.greatest(F.coalesce(F.col("_hi").cast("double"), F.col("q3")), F.col("q3"))).alias("whishi"),
+        F.col("_n").alias("n"),
+        r6(F.col("_q1")).alias("q1"),
+        r6(F.col("_q2")).alias("median"),
+        r6(F.col("_q3")).alias("q3"),
+        r6(F.least(F.coalesce(F.col("_lo").cast("double"), F.col("_q1")), F.col("_q1"))).alias("whislo"),
+        r6(F.greatest(F.coalesce(F.col("_hi").cast("double"), F.col("_q3")), F.col("_q3"))).alias("whishi"),
     )
 
 
@@ -169,14 +171,15 @@ def histogram(df: DataFrame, by: str, col: str, bins: int = 50, clip_q: float |
     range table is joined as a size-checked broadcast.
     """
     c = F.col(col)
-    d = df.filter(F.col(by).isNotNull() & c.isNotNull())
+    d = df.filter(F.col(by).isNotNull() & c.isNotNull()).select(by, c.alias("_v"))
     totals = d.groupBy(by).agg(F.count(F.lit(1)).alias("n_total"))
     if clip_q is not None:
         limit = df.filter(c.isNotNull()).agg(F.percentile(c, clip_q)).scalar()
-        d = d.filter(c <= limit)
+        d = d.filter(F.col("_v") <= limit)
+    c = F.col("_v")
     rng = d.groupBy(by).agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
     span = F.col("hi") - F.col("lo")
-    step = F.expr(f"((`{col}` - lo) * {int(bins)}) div (hi - lo)")
+    step = F.expr(f"((_v - lo) * {int(bins)}) div (hi - lo)")
     b = F.when(span == 0, F.lit(bins // 2)).otherwise(F.least(step, F.lit(bins - 1)))
     info = rng.join(totals, by)
     local = collect_small(info)

@@ -96,3 +96,20 @@ def test_methods_agree_and_invariants_match_setops(spark, keyed):
     assert inv["train_valid_overlap"] == ids["train"].intersectAll(ids["valid"]).count() == 1
     assert inv["extra_in_splits"] == broken.select("uid").exceptAll(keyed.select("uid")).count() == 1
     assert inv["missing_from_splits"] == keyed.select("uid").exceptAll(broken.select("uid")).count() == 0
+
+
+def test_guard_fallbacks_give_same_result(spark, keyed, monkeypatch):
+    from lexiflow.operators import joins, profile
+
+    base = {r.uid: r.split for r in split.stratified_split(keyed).collect()}
+    monkeypatch.setattr(split, "MAX_BUCKET_ROWS", 1)  # bucket table "too large" -> shuffle joins
+    assert {r.uid: r.split for r in split.stratified_split(keyed).collect()} == base
+    monkeypatch.setattr(split, "MAX_STRATA", 0)  # key map "too large" -> regular join
+    assert {r.uid: r.stratify_key for r in split.stratify_key(keyed.drop("stratify_key")).collect()} == {
+        r.uid: r.stratify_key for r in keyed.collect()
+    }
+    lens = keyed.withColumn("n", split.F.length("text"))
+    a = sorted(profile.box_stats(lens, "domain", "n").collect())
+    monkeypatch.setattr(joins, "MAX_SMALL_ROWS", 0)
+    monkeypatch.setattr(profile, "join_small", lambda b, s, on, how="inner": joins.join_small(b, s, on, how, max_rows=0))
+    assert sorted(profile.box_stats(lens, "domain", "n").collect()) == a

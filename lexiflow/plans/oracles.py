@@ -137,7 +137,7 @@ cte("prepared", ["r_prepared"], "select * from r_prepared")
 cte(
     "lens",
     ["reviews"],
-    "select *, length(raw_text) as text_len from reviews where raw_text is not null",
+    "select *, cast(length(raw_text) as integer) as text_len from reviews where raw_text is not null",
 )
 
 cte(
@@ -273,7 +273,7 @@ from (select main_category, quantile_cont(text_len, 0.5) as median from lens whe
 )
 
 # ---- stage-2 steps over reviews_dirty -------------------------------------
-oracle("text_len", ["reviews_dirty"], f"select pos, length(raw_text) as text_len, length({clean_sql('raw_text')}) as clean_len from reviews_dirty")
+oracle("text_len", ["reviews_dirty"], f"select pos, cast(length(raw_text) as integer) as text_len, cast(length({clean_sql('raw_text')}) as integer) as clean_len from reviews_dirty")
 oracle(
     "null_profile",
     ["reviews_dirty"],
@@ -310,7 +310,7 @@ oracle("parse_label", ["lab_dirty"], "select pos, polarity, label_int from lab_d
 oracle(
     "clean_text",
     ["reviews_dirty"],
-    f"select pos, {clean_sql('raw_text')} as text, length({clean_sql('raw_text')}) as text_len from reviews_dirty",
+    f"select pos, {clean_sql('raw_text')} as text, cast(length({clean_sql('raw_text')}) as integer) as text_len from reviews_dirty",
 )
 oracle(
     "uid_key",
@@ -454,7 +454,7 @@ from (select c.ml, (select count(*) from tok) as n, (select count(*) from tok wh
 oracle(
     "truncate_tokens",
     ["prepared"],
-    f"""select uid, len(t) as kept_len, array_to_string(t, ' ') as truncated
+    f"""select uid, cast(len(t) as integer) as kept_len, array_to_string(t, ' ') as truncated
 from (select uid, list_concat(['[CLS]'], list_slice({tokens_sql('text')}, 1, 190), ['[SEP]']) as t from prepared)""",
 )
 oracle(

@@ -103,7 +103,8 @@ def payloads(spark: SparkSession, sf_dir: str, root: str = "/data/reviews") -> D
 
     0: plain array; 1: object whose first list value holds the rows (after a
     string that looks like a list and before a second list); 2: array with a
-    trailing scalar element; 3: truncated text (corrupt).  The label field is
+    trailing scalar element; 3: the whole array without its closing bracket
+    (corrupt).  The label field is
     text in shop files and a number in sns files.  Files are bounded by
     construction (one doc-id block of one source and language), so
     ``collect_list`` never gathers an unbounded group.
@@ -131,6 +132,6 @@ def payloads(spark: SparkSession, sf_dir: str, root: str = "/data/reviews") -> D
         F.when(k == 0, arr)
         .when(k == 1, F.concat(F.lit('{"meta":"[x","rows":'), arr, F.lit(',"other":[{"Index":"no"}]}')))
         .when(k == 2, F.concat(F.lit("["), body, F.lit(",5]")))
-        .otherwise(F.substring(arr, 1, 40))
+        .otherwise(F.concat(F.lit("["), body))  # every review, but the closing bracket is missing
     )
     return files.select(F.concat(F.lit(root.rstrip("/") + "/"), F.col("file_path")).alias("path"), payload.alias("payload"))

@@ -24,15 +24,27 @@ def _r(c):
     return F.round(c, DIGITS)
 
 
+def _zero_rows(k: int, fields: Sequence[str]):
+    """k structs (class id 0..k-1 with zero counts): makes a grouped table dense without a join."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.struct(c.alias("cls"), *[F.lit(0).cast("bigint").alias(f) for f in fields]))
+
+
 def class_weights(df: DataFrame, label: str = "label", k: int = NUM_LABELS) -> DataFrame:
-    """Balanced weights n / (k * n_c), dense over classes 0..k-1; an absent class gets +inf."""
-    spark = df.sparkSession
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    dense = spark.range(k).select(F.col("id").cast("int").alias(label)).join(counts, label, "left")
-    dense = dense.withColumn("n_c", F.coalesce(F.col("n_c"), F.lit(0)).cast("bigint"))
+    """Balanced weights n / (k * n_c), dense over classes 0..k-1; an absent class gets +inf.
+
+    One grouped count; the partial counts of every task carry zero rows for all
+    k classes, so the result is dense without joining a class grid."""
+    per_row = F.array(F.struct(F.col(label).cast("int").alias("cls"), F.lit(1).cast("bigint").alias("n_c")))
+    counts = (
+        df.select(F.explode(per_row).alias("r"))
+        .select("r.*")
+        .unionByName(df.sparkSession.range(1).select(F.explode(_zero_rows(k, ["n_c"])).alias("r")).select("r.*"))
+        .groupBy("cls")
+        .agg(F.sum("n_c").alias("n_c"))
+    )
     total = F.sum("n_c").over(Window.partitionBy())
     w = F.when(F.col("n_c") == 0, F.lit(float("inf"))).otherwise(total / (F.lit(k) * F.col("n_c")))
-    return dense.select(label, "n_c", w.alias("weight"))
+    return counts.select(F.col("cls").alias(label), F.col("n_c").cast("bigint").alias("n_c"), w.alias("weight"))
 
 
 def confusion_counts(df: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ("run",)) -> DataFrame:
@@ -40,21 +52,22 @@ def confusion_counts(df: DataFrame, label: str = "label", pred: str = "pred", by
 
 
 def per_class(df: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ("run",), k: int = NUM_LABELS) -> DataFrame:
-    """Dense (run, class): tp, support, predicted, precision, recall, f1, present."""
+    """Dense (run, class): tp, support, predicted, precision, recall, f1, present.
+
+    From the k x k confusion counts, each cell emits a 'true class' row and a
+    'predicted class' row, plus zero rows for all k classes; one more grouping
+    over those few rows gives the dense per-class table (no joins)."""
     by = list(by)
     cc = confusion_counts(df, label, pred, by)
-    as_true = cc.groupBy(*by, F.col(label).alias("cls")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col(label) == F.col(pred), F.col("n")).otherwise(0)).alias("tp")
+    cells = F.array(
+        F.struct(F.col(label).alias("cls"), F.col("n").alias("support"), F.when(F.col(label) == F.col(pred), F.col("n")).otherwise(F.lit(0)).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("predicted")),
+        F.struct(F.col(pred).alias("cls"), F.lit(0).cast("bigint").alias("support"), F.lit(0).cast("bigint").alias("tp"), F.col("n").alias("predicted")),
     )
-    as_pred = cc.groupBy(*by, F.col(pred).alias("cls")).agg(F.sum("n").alias("predicted"))
-    grid = cc.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cls"))
-    d = grid.join(as_true, by + ["cls"], "left").join(as_pred, by + ["cls"], "left")
-    d = d.select(
-        *by,
-        "cls",
-        F.coalesce("tp", F.lit(0)).cast("bigint").alias("tp"),
-        F.coalesce("support", F.lit(0)).cast("bigint").alias("support"),
-        F.coalesce("predicted", F.lit(0)).cast("bigint").alias("predicted"),
+    rows = cc.select(*by, F.explode(F.concat(cells, _zero_rows(k, ["support", "tp", "predicted"]))).alias("r"))
+    d = rows.groupBy(*by, F.col("r.cls").cast("int").alias("cls")).agg(
+        F.sum("r.tp").cast("bigint").alias("tp"),
+        F.sum("r.support").cast("bigint").alias("support"),
+        F.sum("r.predicted").cast("bigint").alias("predicted"),
     )
     p = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
@@ -124,16 +137,20 @@ def confusion_matrix(
     df: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ("run",), k: int = NUM_LABELS,
     names: Mapping[int, str] = LABEL_TO_NAME,
 ) -> DataFrame:
-    """Rows = true class (id and name), columns ``pred_0..pred_{k-1}`` = counts, dense with 0."""
+    """Rows = true class (id and name), columns ``pred_0..pred_{k-1}`` = counts, dense with 0.
+
+    The confusion counts get zero cells for every true class, then one pivot
+    over those few rows (no grid join)."""
     by = list(by)
     cc = confusion_counts(df, label, pred, by)
-    wide = cc.groupBy(*by, label).pivot(pred, list(range(k))).agg(F.sum("n"))
-    grid = cc.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(label))
-    d = grid.join(wide, by + [label], "left")
-    return d.select(
+    zeros = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.struct(c.alias("t"), F.lit(0).alias("p"), F.lit(0).cast("bigint").alias("n")))
+    cell = F.array(F.struct(F.col(label).cast("int").alias("t"), F.col(pred).cast("int").alias("p"), F.col("n").alias("n")))
+    rows = cc.select(*by, F.explode(F.concat(cell, zeros)).alias("r")).select(*by, "r.t", "r.p", "r.n")
+    wide = rows.groupBy(*by, "t").pivot("p", list(range(k))).agg(F.sum("n"))
+    return wide.select(
         *by,
-        F.col(label).cast("int").alias("true_label"),
-        label_name(F.col(label), names).alias("true_name"),
+        F.col("t").cast("int").alias("true_label"),
+        label_name(F.col("t"), names).alias("true_name"),
         *[F.coalesce(F.col(str(i)), F.lit(0)).cast("bigint").alias(f"pred_{i}") for i in range(k)],
     )
 

@@ -189,9 +189,12 @@ def histogram(df: DataFrame, by: str, col: str, bins: int = 50, clip_q: float |
     else:
         joined = d.join(info.select(by, "lo", "hi"), by)
     counts = joined.groupBy(by, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    grid = info.select(by, "lo", "hi", "n_total", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    # every (group, bin) gets a zero row, so empty bins appear without a grid join
+    zeros = info.select(by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.lit(0).cast("bigint").alias("n"))
+    dense = counts.unionByName(zeros).groupBy(by, "bin").agg(F.sum("n").alias("n"))
+    info_side = F.broadcast(info) if local is not None else info
     width = (F.col("hi") - F.col("lo")).cast("double") / bins
-    return grid.join(counts, [by, "bin"], "left").select(
+    return dense.join(info_side, by).select(
         by,
         "bin",
         r6(F.col("lo") + F.col("bin") * width).alias("bin_start"),

@@ -57,14 +57,23 @@ def run_record(spark: SparkSession, **fields) -> DataFrame:
 
 
 def compare_runs(runs: DataFrame, a: str, b: str, metrics: Sequence[str] = COMPARE_METRICS, tag: str = "run_tag") -> DataFrame:
-    """metric, run_a, run_b, diff (b - a), ratio (b / a), pct_reduction ((1 - b/a) * 100), factor (a / b)."""
+    """metric, run_a, run_b, diff (b - a), ratio (b / a), pct_reduction ((1 - b/a) * 100), factor (a / b).
+
+    Both runs are unpivoted to (run, metric, value) and aligned by metric with
+    one pivot on the run tag (no self-join); a metric is reported when both
+    runs have a record."""
     present = [m for m in metrics if m in runs.columns]
     long = runs.select(tag, *[F.col(m).cast("double").alias(m) for m in present]).unpivot([tag], present, "metric", "value")
-    left = long.filter(F.col(tag) == a).select("metric", F.col("value").alias("run_a"))
-    right = long.filter(F.col(tag) == b).select("metric", F.col("value").alias("run_b"))
-    ra, rb = F.col("run_a"), F.col("run_b")
+    wide = (
+        long.filter(F.col(tag).isin(a, b))
+        .groupBy("metric")
+        .pivot(tag, [a, b])
+        .agg(F.first("value").alias("v"), F.count(F.lit(1)).alias("c"))
+    )
+    wide = wide.filter((F.col(f"`{a}_c`") > 0) & (F.col(f"`{b}_c`") > 0))
+    ra, rb = F.col(f"`{a}_v`"), F.col(f"`{b}_v`")
     ratio = F.try_divide(rb, ra)
-    return left.join(right, "metric").select(
+    return wide.select(
         "metric",
         F.round(ra, 6).alias("run_a"),
         F.round(rb, 6).alias("run_b"),

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexiflow.functions.text import WS_CLASS
+from lexiflow.functions.text import INT_WS_CLASS
 
 # Polarity -> model label, label -> display name, valid polarities.
 POLARITY_TO_LABEL = {-1: 0, 0: 1, 1: 2}
@@ -16,7 +16,7 @@ VALID_POLARITIES = (-1, 0, 1)
 NUM_LABELS = 3
 
 # Text accepted as an integer: optional whitespace, sign, ASCII digits.
-INT_TEXT = "^" + WS_CLASS + "*[+-]?[0-9]+" + WS_CLASS + "*$"
+INT_TEXT = "^" + INT_WS_CLASS + "*[+-]?[0-9]+" + INT_WS_CLASS + "*$"
 
 
 def _c(col) -> Column:
@@ -28,7 +28,7 @@ def parse_label(col) -> Column:
     c = _c(col)
     return F.when(
         c.rlike(INT_TEXT),
-        F.regexp_replace(c, WS_CLASS, "").try_cast("int"),
+        F.regexp_replace(c, INT_WS_CLASS, "").try_cast("int"),
     )
 
 

@@ -22,11 +22,17 @@ WS_RANGES = (
 
 # The same set as a regex class with \x{..} escapes (valid in Java regex and
 # in RE2, the DuckDB oracle) and as a plain string of characters.
-WS_CLASS = "[" + "".join(
-    f"\\x{{{lo:02x}}}" if lo == hi else f"\\x{{{lo:02x}}}-\\x{{{hi:02x}}}" for lo, hi in WS_RANGES
-) + "]"
+def regex_class(ranges) -> str:
+    return "[" + "".join(f"\\x{{{lo:02x}}}" if lo == hi else f"\\x{{{lo:02x}}}-\\x{{{hi:02x}}}" for lo, hi in ranges) + "]"
+
+
+WS_CLASS = regex_class(WS_RANGES)
 WS_CHARS = "".join(chr(c) for lo, hi in WS_RANGES for c in range(lo, hi + 1))
 
+# Python's int() skips surrounding whitespace too, but not the information
+# separators U+001C-001F that str.strip removes.
+INT_WS_CLASS = regex_class([(0x09, 0x0D), (0x20, 0x20)] + [r for r in WS_RANGES if r[0] > 0x20])
+
 # One token = a run of letters/digits, or one other non-space character.
 # Applied to cleaned text, where the only whitespace left is U+0020.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N} ]"

@@ -11,7 +11,7 @@ counts cast to BIGINT, doubles rounded to 6 digits.
 from __future__ import annotations
 
 from lexiflow.functions.labels import INT_TEXT
-from lexiflow.functions.text import TOKEN_PATTERN, WS_CLASS
+from lexiflow.functions.text import INT_WS_CLASS, TOKEN_PATTERN, WS_CLASS
 from lexiflow.plans.fixtures import FILE_BLOCK, SNS_FROM_SOURCE
 
 _CTES: dict[str, tuple[list[str], str]] = {}
@@ -39,7 +39,7 @@ def with_ctes(body: str, deps: list[str]) -> str:
 
 
 def parse_sql(x: str) -> str:
-    return f"(case when regexp_matches({x}, '{INT_TEXT}') then try_cast(regexp_replace({x}, '{WS_CLASS}', '', 'g') as integer) end)"
+    return f"(case when regexp_matches({x}, '{INT_TEXT}') then try_cast(regexp_replace({x}, '{INT_WS_CLASS}', '', 'g') as integer) end)"
 
 
 def clean_sql(x: str) -> str:

@@ -109,3 +109,26 @@ def test_strict_label_check_and_position_uid(spark):
     assert sorted(r.uid for r in kept) == ["f.json::#0", "f.json::#1", "f.json::3"]
     with pytest.raises(PySparkException):
         prep.prepare(df, strict=True, null_index="position").collect()
+
+
+def test_random_strings_match_python(spark):
+    """400 seeded random strings over whitespace, letters, digits, signs and symbols."""
+    import random
+
+    from lexiflow.functions import is_blank
+    from lexiflow.functions.text import WS_CHARS
+
+    rng = random.Random(7)
+    alphabet = list(WS_CHARS) + list("abé中١") + list("0123456789+-.") + ["\U0001f600", "​", "­"]
+    samples = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(samples)), "i int, s string")
+    got = {r.i: r for r in df.select("i", clean_text("s").alias("c"), is_blank("s").alias("b"), parse_label("s").alias("p")).collect()}
+    for i, s in enumerate(samples):
+        assert got[i].c == py_clean(s), repr(s)
+        assert got[i].b == (s.strip() == ""), repr(s)
+        expect = py_int(s)
+        ascii_int = re.fullmatch(r"\s*[+-]?[0-9]+\s*", s) is not None and re.search("[0-9]", s) is not None
+        # documented: only ASCII digits count, and 32-bit range
+        if expect is not None and (not ascii_int or not (-(2**31) <= expect < 2**31)):
+            expect = None
+        assert got[i].p == expect, repr(s)

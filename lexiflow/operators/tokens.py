@@ -119,40 +119,40 @@ def wordpiece_vocab(df: DataFrame, n_words: int = 8000, n_chars: int = 2000, tex
     return words.unionByName(pieces).distinct()
 
 
-def _wordpiece_count(word: str, vocab: frozenset, max_chars: int) -> int:
-    if len(word) > max_chars:
-        return 1
-    pieces, start = 0, 0
-    while start < len(word):
-        end = len(word)
-        while end > start:
-            sub = word[start:end] if start == 0 else "##" + word[start:end]
-            if sub in vocab:
-                break
-            end -= 1
-        if end == start:
-            return 1  # the whole word becomes [UNK]
-        pieces += 1
-        start = end
-    return pieces
-
-
 def wordpiece_len(df: DataFrame, vocab: DataFrame, text: str = "text", max_chars: int = 100, out: str = "wp_len") -> DataFrame:
     """WordPiece token count (+2 specials) per row, greedy longest match first.
 
     The vocabulary is collected once (its size is bounded by how it was built,
     e.g. ``wordpiece_vocab``) and shipped with the Arrow UDF; the per-row
-    work stays on the executors in Arrow batches.
+    work stays on the executors in Arrow batches.  The UDF is self-contained
+    (no reference to this package), so executors need only pandas and regex.
     """
-    import regex
-
-    pieces = frozenset(r[0] for r in vocab.select("piece").collect())
-    if UNK_TOKEN in pieces:
-        pieces = pieces - {UNK_TOKEN}
+    pieces = frozenset(r[0] for r in vocab.select("piece").collect()) - {UNK_TOKEN}
     pattern = TOKEN_PATTERN
+    n_special = N_SPECIAL
+
+    def count_pieces(word: str) -> int:
+        """Greedy longest-match-first; a word with no match at some point is one [UNK]."""
+        if len(word) > max_chars:
+            return 1
+        n, start = 0, 0
+        while start < len(word):
+            end = len(word)
+            while end > start:
+                sub = word[start:end] if start == 0 else "##" + word[start:end]
+                if sub in pieces:
+                    break
+                end -= 1
+            if end == start:
+                return 1
+            n += 1
+            start = end
+        return n
 
     @F.pandas_udf("int")
     def _wp(texts: pd.Series) -> pd.Series:
+        import regex
+
         rx = regex.compile(pattern)
         memo: dict[str, int] = {}
         res = []
@@ -160,11 +160,11 @@ def wordpiece_len(df: DataFrame, vocab: DataFrame, text: str = "text", max_chars
             if t is None:
                 res.append(None)
                 continue
-            total = N_SPECIAL
+            total = n_special
             for w in rx.findall(t):
                 k = memo.get(w)
                 if k is None:
-                    k = _wordpiece_count(w, pieces, max_chars)
+                    k = count_pieces(w)
                     if len(memo) < 200_000:
                         memo[w] = k
                 total += k

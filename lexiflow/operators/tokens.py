@@ -128,6 +128,11 @@ def wordpiece_len(df: DataFrame, vocab: DataFrame, text: str = "text", max_chars
     (no reference to this package), so executors need only pandas and regex.
     """
     pieces = frozenset(r[0] for r in vocab.select("piece").collect()) - {UNK_TOKEN}
+    return df.withColumn(out, wordpiece_udf(pieces, max_chars)(F.col(text)))
+
+
+def wordpiece_udf(pieces: frozenset, max_chars: int = 100):
+    """Arrow UDF: text -> WordPiece count (+2 specials) over the given pieces."""
     pattern = TOKEN_PATTERN
     n_special = N_SPECIAL
 
@@ -171,4 +176,4 @@ def wordpiece_len(df: DataFrame, vocab: DataFrame, text: str = "text", max_chars
             res.append(total)
         return pd.Series(res, dtype="Int32")
 
-    return df.withColumn(out, _wp(F.col(text)))
+    return _wp

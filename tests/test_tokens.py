@@ -45,3 +45,29 @@ def test_build_vocab_rank(spark):
     wv = {r.piece for r in tokens.wordpiece_vocab(df, 1, 2).collect()}
     assert wv == {"b", "a", "##b", "##a"}
     assert F is not None
+
+
+def test_wordpiece_udf_is_self_contained(spark, tmpdir_path):
+    # executors need not have this package on their path: the pickled UDF is
+    # loaded and run in a fresh interpreter that cannot import it
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from lexiflow.operators.tokens import wordpiece_udf
+
+    blob = os.path.join(tmpdir_path, "udf.pkl")
+    with open(blob, "wb") as f:
+        f.write(cloudpickle.dumps(wordpiece_udf(frozenset({"a", "##b"})).func))
+    code = (
+        "import pickle, sys, pandas as pd\n"
+        "assert not any('repo' in p for p in sys.path)\n"
+        f"fn = pickle.load(open({blob!r}, 'rb'))\n"
+        "print([int(x) for x in fn(pd.Series(['ab a', 'zz']))])\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmpdir_path, env=env, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert out.stdout.strip() == "[5, 3]"  # (a ##b) + a + 2 specials; [UNK] + 2 specials

@@ -151,3 +151,10 @@ def test_csv_bom_export_and_label_map(spark, tmpdir_path):
     tables.write_record(tables.label_map_record(spark), lm)
     rows = {r.label: r.label_name for r in tables.read_label_map(spark, lm).collect()}
     assert sorted(rows) == [0, 1, 2]
+
+
+def test_kind_after_long_leading_whitespace(spark):
+    docs = [("a", " " * 1000 + '[{"Index": "1"}]'), ("b", "\n" * 300 + '{"Index": "2"}'), ("c", "   7")]
+    df = spark.createDataFrame(docs, "path string, payload string")
+    kinds = {r.path: r.kind for r in ji.payload_status(df).collect()}
+    assert kinds == {"a": "array", "b": "object", "c": "scalar"}

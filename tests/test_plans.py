@@ -52,3 +52,18 @@ def test_no_row_at_a_time_python(spark):
         assert f.count("BatchEvalPython") == 0, key
         if key != "wordpiece_len":
             assert f.count("ArrowEvalPython") == 0, key
+
+
+def test_hot_uid_dedup_combines_map_side(spark):
+    # a third or more of the rows share one uid (rows without Index in one file)
+    rows = [("big.json", None, f"t{i}", "1", i, "d", "c", "shop") for i in range(3000)]
+    rows += [(f"f{i}.json", str(i), f"u{i}", "0", i, "d", "c", "shop") for i in range(3000)]
+    df = spark.createDataFrame(rows, "file_path string, review_index string, raw_text string, polarity string, pos int, domain string, main_category string, source string").repartition(8)
+    kept = prep.dedup_keep_first(prep.with_uid(df))
+    hot = kept.filter("uid = 'big.json::nan'").collect()
+    assert len(hot) == 1 and hot[0].pos == 0 and hot[0].raw_text == "t0"
+    assert kept.count() == 3001
+    f = plan_facts(kept)
+    # partial aggregate before the shuffle, final after: the hot key leaves each task as one row
+    aggs = [name for name, _ in f.nodes if name.endswith("Aggregate")]
+    assert len(aggs) == 2 and f.count("Exchange") >= 1

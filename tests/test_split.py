@@ -113,3 +113,15 @@ def test_guard_fallbacks_give_same_result(spark, keyed, monkeypatch):
     monkeypatch.setattr(joins, "MAX_SMALL_ROWS", 0)
     monkeypatch.setattr(profile, "join_small", lambda b, s, on, how="inner": joins.join_small(b, s, on, how, max_rows=0))
     assert sorted(profile.box_stats(lens, "domain", "n").collect()) == a
+
+
+def test_hot_stratum_many_buckets_matches_brute_force(spark, monkeypatch):
+    # one stratum holds ~90 % of the rows; small buckets force many boundary checks
+    rows = [(f"h{i}", 2, "big") for i in range(9000)] + [(f"s{i}", i % 2, "small") for i in range(1000)]
+    df = spark.createDataFrame(rows, "uid string, label int, domain string")
+    keyed = split.stratify_key(df)
+    monkeypatch.setattr(split, "ROWS_PER_BUCKET", 100)
+    assert split.choose_digits(9000, 100) == 2
+    got = {r.uid: r.split for r in split.stratified_split(keyed).collect()}
+    expect = brute_split([(r.uid, r.stratify_key) for r in keyed.collect()])
+    assert got == expect

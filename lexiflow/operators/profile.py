@@ -130,6 +130,27 @@ def duplicate_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return g.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("n_dup"))
 
 
+def duplicate_counts(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Several duplicate counts (rows repeating an earlier row on a key) from one scan.
+
+    One ``GROUPING SETS`` aggregation: each input row is expanded once per key
+    and combined map-side, so the input is read once and shuffled once instead
+    of once per key.  A row whose key expression is null is left out of that
+    key's count; wrap a nullable column in ``struct`` so that a null value still
+    counts as a key (pandas ``duplicated`` treats nulls as equal)."""
+    names = list(keys)
+    k = len(names)
+    cols = [f"_k{i}" for i in range(k)]
+    d = df.select(*[keys[n].alias(c) for n, c in zip(names, cols)])
+    g = d.groupingSets([[c] for c in cols], *cols).agg(F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_gid"))
+    outs = []
+    for i, (name, c) in enumerate(zip(names, cols)):
+        gid = (1 << k) - 1 - (1 << (k - 1 - i))  # every grouping column aggregated except this one
+        in_set = (F.col("_gid") == gid) & F.col(c).isNotNull()
+        outs.append(F.coalesce(F.sum(F.when(in_set, F.col("_n") - 1)), F.lit(0)).cast("bigint").alias(name))
+    return g.agg(*outs)
+
+
 def box_stats(df: DataFrame, by: str, col: str, whis: float = 1.5) -> DataFrame:
     """Box-plot numbers per group: quartiles, and whiskers at the farthest value within
     ``whis``·IQR of the box (never inside the box), as matplotlib draws them with

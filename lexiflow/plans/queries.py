@@ -176,15 +176,16 @@ def q_dedup_keep_first(spark, sf):
 
 @query("duplicate_profile")
 def q_duplicate_profile(spark, sf):
-    d = fx.reviews_dirty(spark, sf)
-    labelled = prep.with_uid(prep.drop_missing_label(d))
-    parts = [
-        profile.duplicate_count(d, ["raw_text"]).withColumnRenamed("n_dup", "n_dup_text"),
-        profile.duplicate_count(d, ["review_index"]).withColumnRenamed("n_dup", "n_dup_index"),
-        profile.duplicate_count(labelled, ["uid"]).withColumnRenamed("n_dup", "n_dup_uid"),
-    ]
-    # three one-row aggregates side by side; each is a scalar subquery, not a join
-    return parts[0].select("n_dup_text", parts[1].scalar().alias("n_dup_index"), parts[2].scalar().alias("n_dup_uid"))
+    d = prep.with_uid(fx.reviews_dirty(spark, sf))
+    # text and Index over all rows (nulls equal), uid over labelled rows only
+    return profile.duplicate_counts(
+        d,
+        {
+            "n_dup_text": F.struct("raw_text"),
+            "n_dup_index": F.struct("review_index"),
+            "n_dup_uid": F.when(F.col("polarity").isNotNull(), F.struct("uid")),
+        },
+    )
 
 
 @query("drop_missing_label")

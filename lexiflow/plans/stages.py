@@ -57,8 +57,9 @@ def stage_profile(spark: SparkSession, roots: Sequence[str], out: str) -> dict[s
         "source_counts": profile.value_counts(c, "source"),
         "length_describe": profile.describe(c, "text_len"),
         "length_quantiles": profile.quantiles(c, "text_len"),
-        "duplicates_by_text": profile.duplicate_count(c, ["raw_text"]),
-        "duplicates_by_index": profile.duplicate_count(c, ["review_index"]),
+        "duplicates": profile.duplicate_counts(
+            c, {"n_dup_text": F.struct("raw_text"), "n_dup_index": F.struct("review_index")}
+        ),
     }
     return _write_reports(out, reports)
 

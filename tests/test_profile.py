@@ -79,3 +79,23 @@ def test_top_values_and_median_rank(spark):
     assert top == [("y", 1), ("z", 2)]
     med = [(r.rank, r.g) for r in profile.groups_by_median(df, "g", "v").orderBy("rank").collect()]
     assert med == [(1, "y"), (2, "z"), (3, "x")]
+
+
+def test_duplicate_counts_one_scan_matches_pandas(spark):
+    import random
+
+    from lexiflow.plans.inspect import plan_facts
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["x", None, "y", "z"]), rng.random() < 0.5) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k1 string, k2 string, keep boolean")
+    out = profile.duplicate_counts(
+        df, {"d1": F.struct("k1"), "d2": F.struct("k2"), "d3": F.when(F.col("keep"), F.struct("k1", "k2"))}
+    )
+    got = out.first()
+    pdf = pd.DataFrame(rows, columns=["k1", "k2", "keep"])
+    assert got.d1 == int(pdf.duplicated(subset=["k1"]).sum())
+    assert got.d2 == int(pdf.duplicated(subset=["k2"]).sum())
+    assert got.d3 == int(pdf[pdf.keep].duplicated(subset=["k1", "k2"]).sum())
+    f = plan_facts(out)
+    assert f.count("Expand") == 1 and f.count("Exchange") == 2  # grouping-sets shuffle + final single-row agg

@@ -34,12 +34,16 @@ def _write_reports(out: str, reports: dict[str, DataFrame]) -> dict[str, DataFra
 
 def stage_profile(spark: SparkSession, roots: Sequence[str], out: str) -> dict[str, DataFrame]:
     """Stage 1: ingest every JSON file under the roots, write ``combined``, profile it."""
-    raw = [json_ingest.read_raw(spark, r) for r in roots]
-    status = None
-    for root, r in zip(roots, raw):
-        st = json_ingest.with_provenance(json_ingest.payload_status(r), root)
-        status = st if status is None else status.unionByName(st)
-    combined = json_ingest.load_many(spark, list(roots)).withColumn("text_len", text_len("raw_text"))
+    # parse every document once: elements and empty documents in one written table
+    ex = None
+    for root in roots:
+        part = json_ingest.with_provenance(json_ingest.explode_all(json_ingest.read_raw(spark, root)), root)
+        ex = part if ex is None else ex.unionByName(part)
+    ex = tables.materialize(ex, "ingest")
+    status = json_ingest.status_from_exploded(ex, "file_path").withColumn(
+        "top_folder", F.substring_index("file_path", "/", 1)
+    )
+    combined = json_ingest.project_contract(ex.filter("_is_object")).withColumn("text_len", text_len("raw_text"))
     tables.write_table(combined, f"{out}/combined")
     c = spark.read.parquet(f"{out}/combined")
     reports = {

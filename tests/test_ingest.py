@@ -158,3 +158,12 @@ def test_kind_after_long_leading_whitespace(spark):
     df = spark.createDataFrame(docs, "path string, payload string")
     kinds = {r.path: r.kind for r in ji.payload_status(df).collect()}
     assert kinds == {"a": "array", "b": "object", "c": "scalar"}
+
+
+def test_status_from_single_parse_equals_payload_status(spark, tree):
+    raw = ji.read_raw(spark, tree)
+    a = sorted(tuple(r) for r in ji.payload_status(raw).collect())
+    b = sorted(tuple(r) for r in ji.status_from_exploded(ji.explode_all(raw)).select("path", "kind", "n_rows", "n_skipped").collect())
+    assert a == b
+    rows = ji.explode_all(raw).filter("_is_object").count()
+    assert rows == ji.explode_payloads(raw).count()

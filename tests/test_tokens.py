@@ -1,5 +1,6 @@
 """Token lengths, truncation tables, recommendation, WordPiece."""
 
+from pyspark.sql import functions as F
 
 from lexiflow.operators import tokens
 
@@ -69,3 +70,17 @@ def test_wordpiece_udf_is_self_contained(spark, tmpdir_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmpdir_path, env=env, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
     assert out.stdout.strip() == "[5, 3]"  # (a ##b) + a + 2 specials; [UNK] + 2 specials
+
+
+def test_python_and_java_tokenizers_agree(spark):
+    # with every token in the vocabulary each word is one piece, so the
+    # Python-side count must equal the JVM regexp_count on every row
+    from lexiflow.operators.prep import prepare
+    from lexiflow.plans import fixtures as fx
+
+    from .conftest import SF_SMALL
+
+    p = tokens.with_token_len(prepare(fx.reviews(spark, SF_SMALL)))
+    vocab = tokens.token_counts(p).select(F.col("token").alias("piece"))
+    rows = tokens.wordpiece_len(p, vocab, max_chars=10_000).select("token_len", "wp_len").collect()
+    assert len(rows) > 50 and all(r.token_len == r.wp_len for r in rows)

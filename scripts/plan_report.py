@@ -53,9 +53,11 @@ def main() -> None:
         "# Physical plans per query key",
         "",
         f"Generated by `scripts/plan_report.py` at `{args.sf}` (pre-AQE plans; fixture views included).",
-        "'Shuffles with text columns' counts exchanges whose input names a text column; the",
-        "de-duplication shuffle carries the row inside its aggregation buffer and is counted",
-        "under 'shuffles' only.  Training keys are left out (their plans are pyspark.ml stages).",
+        "'Shuffles with text columns' counts exchanges whose input names a text column.  Text",
+        "inside an aggregation buffer or a struct key is not named there: the de-duplication",
+        "shuffle (row in a `min(struct)` buffer) and the duplicate counts (text as a grouping-set",
+        "key) carry text but count under 'shuffles' only.  Training keys are left out (their",
+        "plans are pyspark.ml stages).",
         "",
         "| " + " | ".join(head) + " |",
         "|" + "---|" * len(head),

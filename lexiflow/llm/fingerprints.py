@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 32
+SAMPLES = 64
 CHUNK = 2
 TABLE_BITS = 12
 WS = r"[\x20\x09-\x0D]+"

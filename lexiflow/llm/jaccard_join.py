@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiflow.llm.components import components
 from lexiflow.llm.textops import Words, mix, multipliers, row_numbers, shingles, slices
@@ -72,7 +73,8 @@ def _sketch(k: int, trees: int, depth: int):
                     labels = mix(labels)
                 off = np.concatenate(([0], np.cumsum(has * trees))).astype(np.int32)
                 sig = pa.ListArray.from_arrays(pa.array(off), pa.array(labels.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.arange(row, row + n)), b.column("digest"), sig], names=["doc_id", "row", "digest", "sig"])
+                kept = [c for c in b.schema.names if c == "kept_row"]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.arange(row, row + n)), b.column("digest"), sig, *(b.column(c) for c in kept)], names=["doc_id", "row", "digest", "sig", *kept])
                 row += n
 
     return run
@@ -182,8 +184,8 @@ def block_col(rep: str, parts: str) -> Column:
     return F.expr(f"({rep} ^ shiftright({rep}, 40)) % {parts}")
 
 
-def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links, n_copies, kept.
+def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row per input row: doc_id, class_id, n_links, n_copies, kept (with ``keep`` also a struct kept_row of those columns).
 
     Two documents are linked if the sets of their word 5-grams have a Jaccard
     similarity of ``similarity`` or more (lower case, words by ASCII white space; a
@@ -197,7 +199,14 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, tr
     """
     depth = matched_depth(similarity, trees, max_depth, recall)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), plain_words(F.col(text_col)).alias("plain")).withColumn("digest", F.sha2("plain", 256))
-    sk = materialize(src.mapInArrow(_sketch(k, trees, depth), "doc_id long, row long, digest string, sig array<long>"), "jj-sketch")
+    read, extra = src, []
+    if keep:
+        extra = ["kept_row"]
+        read = docs.select(F.col(id_col).cast("long").alias("doc_id"), plain_words(F.col(text_col)).alias("plain"), F.struct(*keep).alias("kept_row")).withColumn("digest", F.sha2("plain", 256))
+    schema = T.StructType.fromDDL("doc_id long, row long, digest string, sig array<long>")
+    for c in extra:
+        schema = schema.add(c, read.schema[c].dataType)
+    sk = materialize(read.mapInArrow(_sketch(k, trees, depth), schema), "jj-sketch")
     classes = sk.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("f"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes.select("digest", F.col("f.row").alias("rep"), F.col("f.doc_id").alias("first_id"), "n"), "jj-classes")
     reps = sk.select("row", "sig").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
@@ -227,6 +236,6 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, tr
     lead = known.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull().alias("x"), F.col("first_id").alias("doc_id"), F.col("rep").alias("row"))).alias("lead"))
     known = known.join(materialize(lead, "jj-lead"), "label")
     known = materialize(known.select("digest", "n", "docs", F.col("lead.doc_id").alias("class_id"), F.col("lead.row").alias("lead_row")), "jj-final")
-    return sk.select("doc_id", "row", "digest").join(known, "digest").select(
-        "doc_id", "class_id", (F.coalesce("docs", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("n").alias("n_copies"), (F.col("row") == F.col("lead_row")).alias("kept")
+    return sk.select("doc_id", "row", "digest", *extra).join(known, "digest").select(
+        "doc_id", "class_id", (F.coalesce("docs", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("n").alias("n_copies"), (F.col("row") == F.col("lead_row")).alias("kept"), *extra,
     )

@@ -33,7 +33,7 @@ SIMILARITY = 0.8
 TREES = 16
 MAX_DEPTH = 12
 RECALL = 0.999
-BLOCK = 1000
+BLOCK = 256
 
 
 def matched_depth(similarity: float, trees: int, max_depth: int, recall: float) -> int:

@@ -28,8 +28,8 @@ from lexiflow.sources.tables import materialize
 WINDOW = 4096
 END_ID = 2
 GROUP_PIECES = 2000
-#: distinct strings remembered by a task; it bounds memory and changes no result
-CACHE = 150_000
+#: distinct parts and words remembered by a Python worker; it bounds memory and changes no result
+PARTS, WORDS = 200_000, 500_000
 
 
 class WordIds(dict):
@@ -56,7 +56,7 @@ class WordIds(dict):
 
     def word(self, w: str) -> bytes:
         if (ids := self.words.get(w)) is None:
-            if len(self.words) > CACHE:
+            if len(self.words) >= WORDS:
                 self.words.clear()
             chars = w.encode().decode("latin-1").translate(self.alphabet)
             ids = self.words[w] = np.array([t.id for t in self.model.tokenize(chars)], dtype="<u4").tobytes()
@@ -66,10 +66,15 @@ class WordIds(dict):
         if not part:
             return b""
         if max(part) < "ɐ" and "İ" not in part and "<|" not in part:
-            ids = b"".join(map(self.word, self.find(part.lower())))
+            if part.isalpha():
+                ids = self.word(part.lower())
+            elif part[-1] in ",.;:!?" and part[:-1].isalpha():
+                ids = self.word(part[:-1].lower()) + self.word(part[-1])
+            else:
+                ids = b"".join(map(self.word, self.find(part.lower())))
         else:
             ids = np.array(self.tok.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) > CACHE:
+        if len(self) >= PARTS:
             self.clear()
         self[part] = ids
         return ids
@@ -78,9 +83,19 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
+def _shared_words(path: str) -> WordIds:
+    """The worker's word ids: a Python worker runs many tasks and keeps what it has looked up."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_lexiflow_words", {})
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
+
+
 def _pieces(path: str, window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, row, tail = WordIds(path), row_numbers(), np.array([end_id], dtype="<u4").tobytes()
+        words, row, tail = _shared_words(path), row_numbers(), np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column(0), b.column(1), strict=True):

@@ -133,6 +133,12 @@ def label(b: Block, has_main: bool) -> bool | None:
     return None
 
 
+def leans_good(b: Block) -> bool:
+    """A short block full of function words: one good neighbour is enough."""
+    words = WORD.findall(b.text.lower())
+    return sum(w in STOP_WORDS for w in words) >= HIGH_STOPS * max(1, len(words))
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     has_main = any(b.main and not b.bad for b in found)
@@ -154,7 +160,7 @@ def main_text(page: str | None) -> str:
     for b, x, p, q in zip(found, labels, before, after, strict=True):
         if x is None:
             near = {y for y in (p, q) if y is not None}
-            x = near == {True} or (b.heading and q is True)
+            x = near == {True} or (True in near and leans_good(b)) or (b.heading and q is True)
         if x:
             kept.append(b.text)
     return "\n".join(kept)

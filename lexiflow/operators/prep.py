@@ -84,13 +84,9 @@ def expect_total(df: DataFrame, col: str = "label", strict: bool = False) -> Dat
     """Label mapping must be total.  Strict: fail the job on the first unmapped row
     (``raise_error`` inside the plan, no driver round trip).  Otherwise the
     unmapped rows are left out here and listed by ``unmapped_rows``."""
-    if strict:
-        return df.withColumn(
-            col,
-            F.when(F.col(col).isNull(), F.raise_error(F.lit("unmapped label; check the label values"))).otherwise(
-                F.col(col)
-            ),
-        )
+    if strict:  # as a predicate, which column pruning can't remove
+        unmapped = F.raise_error(F.lit("unmapped label; check the label values")).cast("boolean")
+        return df.filter(F.when(F.col(col).isNull(), unmapped).otherwise(F.lit(True)))
     return df.filter(F.col(col).isNotNull())
 
 

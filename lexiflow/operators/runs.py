@@ -61,7 +61,7 @@ def compare_runs(runs: DataFrame, a: str, b: str, metrics: Sequence[str] = COMPA
 
     Both runs are unpivoted to (run, metric, value) and aligned by metric with
     one pivot on the run tag (no self-join); a metric is reported when both
-    runs have a record."""
+    runs have a record.  A tag with more than one record raises."""
     present = [m for m in metrics if m in runs.columns]
     long = runs.select(tag, *[F.col(m).cast("double").alias(m) for m in present]).unpivot([tag], present, "metric", "value")
     wide = (
@@ -71,6 +71,8 @@ def compare_runs(runs: DataFrame, a: str, b: str, metrics: Sequence[str] = COMPA
         .agg(F.first("value").alias("v"), F.count(F.lit(1)).alias("c"))
     )
     wide = wide.filter((F.col(f"`{a}_c`") > 0) & (F.col(f"`{b}_c`") > 0))
+    twice = F.raise_error(F.lit(f"more than one record is tagged {a} or {b}")).cast("boolean")
+    wide = wide.filter(F.when((F.col(f"`{a}_c`") > 1) | (F.col(f"`{b}_c`") > 1), twice).otherwise(F.lit(True)))
     ra, rb = F.col(f"`{a}_v`"), F.col(f"`{b}_v`")
     ratio = F.try_divide(rb, ra)
     return wide.select(

@@ -26,9 +26,13 @@ from lexiflow.operators import metrics, model, prep, profile, runs, split, token
 from lexiflow.sources import json_ingest, tables
 
 
+UNBOUNDED = ("quarantine",)
+
+
 def _write_reports(out: str, reports: dict[str, DataFrame]) -> dict[str, DataFrame]:
     for name, df in reports.items():
-        tables.write_record(df.coalesce(1), f"{out}/reports/{name}")
+        # one file per report, but for lists that grow with the corpus
+        tables.write_record(df if name in UNBOUNDED else df.coalesce(1), f"{out}/reports/{name}")
     return reports
 
 
@@ -145,8 +149,7 @@ def evaluate(spark: SparkSession, predictions: DataFrame) -> dict[str, DataFrame
 
 
 def main(argv: Sequence[str] | None = None) -> None:
-    from lexiflow.session import get_spark
-
+    
     ap = argparse.ArgumentParser(prog="lexiflow.plans.stages")
     ap.add_argument("stage", choices=["profile", "prepare", "lengths", "tokens", "train", "compare"])
     ap.add_argument("--root", action="append", default=[])
@@ -156,7 +159,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     ap.add_argument("--a", default="wide")
     ap.add_argument("--b", default="compact")
     args = ap.parse_args(argv)
-    spark = SparkSession.getActiveSession() or get_spark("lexiflow-stages")
+    spark = SparkSession.getActiveSession() or SparkSession.builder.appName("lexiflow-stages").getOrCreate()
     domains = [d for d in args.domains.split(",") if d] or None
     if args.stage == "profile":
         stage_profile(spark, args.root, args.out)

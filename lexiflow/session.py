@@ -9,6 +9,7 @@ is configured.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,7 +27,7 @@ def get_spark(app: str = "lexiflow", cores: int | str = "*", shuffle_partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("LEXIFLOW_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("LEXIFLOW_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -35,12 +36,14 @@ def get_spark(app: str = "lexiflow", cores: int | str = "*", shuffle_partitions:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a scratch one only if unset."""
+    """The shared checkpoint folder; a scratch one only if none is set and the master is local."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
         # only when nothing is configured (tests, local runs): a scratch folder
         configured = tempfile.mkdtemp(prefix="lexiflow-ckpt-")
         try:

@@ -121,4 +121,7 @@ def materialize(df: DataFrame, name: str, partition_by: str | list[str] | None =
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/lexiflow-tables/{name}-{uuid.uuid4().hex[:12]}"
     write_table(df, path, fmt="parquet", partition_by=partition_by)
+    # scratch tables go when the application ends
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.parquet(path)

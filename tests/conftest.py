@@ -18,6 +18,7 @@ def spark():
         SparkSession.builder.master("local[*]")
         .appName("lexiflow-tests")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")

@@ -29,7 +29,7 @@ WINDOW = 4096
 END_ID = 2
 GROUP_PIECES = 2000
 #: distinct parts and words remembered by a Python worker; it bounds memory and changes no result
-PARTS, WORDS = 200_000, 500_000
+PARTS, WORDS = 60_000, 200_000
 
 
 class WordIds(dict):

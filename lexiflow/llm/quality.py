@@ -22,7 +22,7 @@ from lexiflow.llm.textops import Words, mix, shingles, slices
 
 BUCKETS = 4096
 #: rows whose posterior labels train the scorer, at most about so many, chosen by hash
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 3000
 THRESHOLD = 0.5
 LABELLERS = 7
 GOOD, BAD, ABSTAIN = 1, 0, 2
@@ -190,7 +190,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text", 1 << 20):
+            for b in slices(batch, "text", 1 << 20, 256):
                 w = Words(b.column("text"))
                 x, q = features(w, buckets).astype(np.float16), pattern(votes(w))
                 ok = np.flatnonzero(w.count > 0)
@@ -201,6 +201,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         return Scorer(p, post, np.zeros(buckets, np.float32), 0.0, probs)
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
     y = np.array([known.get(r["p"], 0.5) for r in rows], np.float32)
+    del rows
     return Scorer(p, post, *fit_scorer(x, y), probs)
 
 
@@ -208,7 +209,7 @@ def _judge(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(*shared.value)
         for batch in batches:
-            for b in slices(batch, "_text", 1 << 20):
+            for b in slices(batch, "_text", 1 << 20, 256):
                 w = Words(b.column("_text"))
                 z = features(w, len(s.weights)) @ s.weights + s.bias
                 score = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))

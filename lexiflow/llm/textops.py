@@ -57,11 +57,11 @@ def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch between rows so that each part holds about ``max_bytes`` of text."""
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Cut a batch between rows so that each part holds about ``max_bytes`` of text and at most ``max_rows`` rows."""
     n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = (np.cumsum(n) // max_bytes) if len(n) else n
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n)]
+    part = np.cumsum(n) // max_bytes
+    cuts = sorted({0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), *range(0, len(n), max_rows), len(n)})
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)

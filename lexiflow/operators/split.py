@@ -12,25 +12,22 @@ integer arithmetic.  Inside a stratum rows are ordered by
 ``valid_q`` to valid, the rest to train.
 
 Scale: there are only a handful of strata, so ``row_number() over
-(partition by stratum)`` would sort the corpus in a handful of tasks, and
-joining the per-stratum tables back to the rows would shuffle the wide rows
-(text included).  The default ``method="select"`` avoids both:
-
-1. the stratum count table (one row per stratum) is collected behind a size
-   guard (``MAX_STRATA``) -- that check is what makes the later broadcasts
-   safe;
-2. rows are bucketed by a hash prefix (``digits`` hex digits, chosen from
-   the largest stratum), bucket counts are aggregated (map-side combined),
-   and a cumulative count per stratum says which rank range every bucket
-   covers; that table has at most strata x 16^digits rows and is broadcast;
-3. a bucket that lies inside one split's range assigns all its rows by a
-   comparison (no shuffle); only the rows of the <= 2 boundary buckets per
-   stratum are ranked, by a window over (stratum, bucket).
-
-``method="bucket"`` ranks every row inside (stratum, bucket) windows with
-joins left to AQE (for an unbounded number of strata); ``method="rank"``
-is the plain single window, kept as the reference in tests.  All methods
-give the same assignment.
+(partition by stratum)`` would sort the corpus in a handful of tasks.
+Instead the last row of test and of valid of every stratum is found by its
+(hash, uid), and one comparison with these cut points assigns each row:
+
+1. (stratum, hash, uid) of all rows are written once to the shared folder;
+2. rows are counted by stratum and the first ``DIGITS`` hex digits of the
+   hash (map-side combined); the cell in which a cut lies is counted again by
+   the next ``DIGITS`` digits, so no count table exceeds strata x 16^DIGITS
+   rows, whatever the input;
+3. the few rows that share all ``LEVELS * DIGITS`` digits with a cut are
+   counted by (hash, uid), which gives the cut itself;
+4. rows meet the cut points of their stratum in one join of a written table
+   with one row per stratum, which Catalyst broadcasts by its size.
+
+No step moves any other column of the rows, and all steps are the same at
+every size.
 """
 
 from __future__ import annotations
@@ -41,27 +38,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions.labels import LABEL_TO_NAME, label_name
-from lexiflow.operators.joins import join_small
+from lexiflow.sources.tables import materialize
 
 SPLITS = ("train", "valid", "test")
 
-
-MAX_STRATA = 100_000
-MAX_BUCKET_ROWS = 2_000_000
-ROWS_PER_BUCKET = 50_000
-
-
-def _small_rows(df: DataFrame, limit: int):
-    """Collect a table that should be small; ``None`` if it has more than ``limit`` rows."""
-    rows = df.limit(limit + 1).collect()
-    return None if len(rows) > limit else rows
+#: hex digits of the hash by which one level counts, and the number of levels
+DIGITS, LEVELS = 4, 2
 
 
 def stratify_key(df: DataFrame, cols: Sequence[str] = ("label", "domain"), min_count: int = 3) -> DataFrame:
     """Add ``stratify_key`` = 'label_domain' (missing parts as 'nan'); rare keys fall back to the first column.
 
-    The key-count table (one row per raw key) is checked to be small and
-    broadcast, so the rows are never shuffled by key.
+    The key map (one row per raw key) is written once, so Catalyst knows its size
+    and broadcasts it while it is small; the rows are not shuffled by key then.
     """
     first = F.col(cols[0]).cast("string")
     parts = [F.coalesce(first, F.lit("nan"))]
@@ -72,7 +61,7 @@ def stratify_key(df: DataFrame, cols: Sequence[str] = ("label", "domain"), min_c
     mapping = counts.select(
         "_raw_key", F.when(F.col("_key_n") < min_count, F.col("_fallback")).otherwise(F.col("_raw_key")).alias("stratify_key")
     )
-    return join_small(d, mapping, "_raw_key", max_rows=MAX_STRATA).drop("_raw_key")
+    return d.join(materialize(mapping, "strata"), "_raw_key").drop("_raw_key")
 
 
 def stratum_quotas(sizes: DataFrame, key: str = "stratify_key", ratios: Sequence[int] = (8, 1, 1)) -> DataFrame:
@@ -108,31 +97,33 @@ def split_hash(uid: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), uid))
 
 
-def _rank_in_stratum(df: DataFrame, key: str, uid: str, digits: int) -> DataFrame:
-    """Exact rank inside the stratum, computed per (stratum, bucket) window plus earlier-bucket counts."""
-    d = df.withColumn("_b", F.substring("_h", 1, digits))
-    buckets = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_bn"))
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
-    inner = Window.partitionBy(key, "_b").orderBy("_h", uid)
-    d = d.join(buckets, [key, "_b"]).withColumn("_rank", F.col("_before") + F.row_number().over(inner))
-    return d.drop("_b", "_before")
+def cut_points(keys: DataFrame, quotas: DataFrame, digits: int = DIGITS, levels: int = LEVELS) -> DataFrame:
+    """(_k, _test, _held): (hash, uid) of the last test row and of the last held-out row of each stratum.
 
-
-def _assign(rank: Column) -> Column:
-    return (
-        F.when(rank <= F.col("test_q"), F.lit("test"))
-        .when(rank <= F.col("test_q") + F.col("valid_q"), F.lit("valid"))
-        .otherwise(F.lit("train"))
+    ``keys`` has one row (_k, _h, _u) per row of the corpus, ``quotas`` (_k, test_q,
+    valid_q) one per stratum.  A stratum without test (held-out) rows has a null cut.
+    """
+    wanted = F.array(
+        F.struct(F.lit("_test").alias("cut"), F.col("test_q").alias("need")),
+        F.struct(F.lit("_held").alias("cut"), (F.col("test_q") + F.col("valid_q")).alias("need")),
     )
-
-
-def choose_digits(max_stratum: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Fewest hex digits so that a bucket of the largest stratum holds ~rows_per_bucket rows."""
-    d = 1
-    while d < 6 and max_stratum / (16**d) > rows_per_bucket:
-        d += 1
-    return d
+    cuts = quotas.select("_k", F.explode(wanted).alias("w")).select("_k", F.col("w.cut").alias("_cut"), F.col("w.need").alias("_need"), F.lit("").alias("_p"))
+    cuts = cuts.where("_need > 0")
+    for i in range(levels + 1):
+        rows = keys.withColumn("_p", F.substring("_h", 1, digits * i))
+        if i:
+            rows = rows.join(cuts.select("_k", "_p").distinct(), ["_k", "_p"], "left_semi")
+        part = [F.substring("_h", 1, digits * (i + 1)).alias("_q")] if i < levels else ["_h", "_u"]
+        cells = rows.groupBy("_k", "_p", *part).agg(F.count(F.lit(1)).alias("_n"))
+        order = ["_q"] if i < levels else ["_h", "_u"]
+        before = Window.partitionBy("_k", "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        cuts = cuts.join(cells, ["_k", "_p"]).where("_before < _need and _need <= _before + _n")
+        if i < levels:
+            cuts = cuts.select("_k", "_cut", (F.col("_need") - F.col("_before")).alias("_need"), F.col("_q").alias("_p"))
+            cuts = materialize(cuts, f"split-cuts{i}")
+    end = F.struct("_h", "_u")
+    return cuts.groupBy("_k").agg(*[F.max(F.when(F.col("_cut") == c, end)).alias(c) for c in ("_test", "_held")])
 
 
 def stratified_split(
@@ -141,53 +132,29 @@ def stratified_split(
     uid: str = "uid",
     ratios: Sequence[int] = (8, 1, 1),
     seed: int = 42,
-    method: str = "select",
-    digits: int | None = None,
+    digits: int = DIGITS,
+    levels: int = LEVELS,
 ) -> DataFrame:
-    """Add ``split`` in {train, valid, test} to every row of ``df``."""
-    spark = df.sparkSession
-    d = df.withColumn("_h", split_hash(F.col(uid), seed))
-    sizes = d.groupBy(key).agg(F.count(F.lit(1)).alias("c"))
-    rows = _small_rows(sizes, MAX_STRATA) if method == "select" else None
-    if rows is not None:
-        sizes = spark.createDataFrame(rows, sizes.schema)
-        if digits is None:
-            digits = choose_digits(max([r["c"] for r in rows], default=1))
-        if len(rows) * 16**digits > MAX_BUCKET_ROWS:
-            rows = None
-    if method == "select" and rows is None:
-        method = "bucket"
-    quotas = stratum_quotas(sizes, key, ratios).select(key, "valid_q", "test_q")
-    cols = df.columns + ["split"]
-    if method == "rank":
-        w = Window.partitionBy(key).orderBy("_h", uid)
-        ranked = d.withColumn("_rank", F.row_number().over(w)).join(quotas, key)
-        return ranked.withColumn("split", _assign(F.col("_rank"))).select(*cols)
-    if method == "bucket":
-        ranked = _rank_in_stratum(d, key, uid, digits or 4).join(quotas, key)
-        return ranked.withColumn("split", _assign(F.col("_rank"))).select(*cols)
-    if method != "select":
-        raise ValueError("method must be 'select', 'bucket' or 'rank'")
-
-    # bucket table: at most len(strata) * 16^digits rows (checked above) -> broadcast
-    d = d.withColumn("_b", F.substring("_h", 1, digits))
-    counts = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_bn"))
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    table = counts.join(F.broadcast(quotas), key).withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
-    first, last = F.col("_before") + 1, F.col("_before") + F.col("_bn")
-    cut1, cut2 = F.col("test_q"), F.col("test_q") + F.col("valid_q")
-    whole = (
-        F.when(last <= cut1, F.lit("test"))
-        .when((first > cut1) & (last <= cut2), F.lit("valid"))
-        .when(first > cut2, F.lit("train"))
+    """Add ``split`` in {train, valid, test} to every row of ``df``.
+
+    Sizes are exact where uids differ inside a stratum (:func:`prep.prepare` sees to
+    it); rows of one stratum with the same uid share a split, null counts as an
+    empty uid, and a null key is a stratum of its own.  An empty table gives an
+    empty result.
+    """
+    u = F.coalesce(F.col(uid).cast("string"), F.lit(""))
+    tagged = df.withColumns({"_k": F.struct(F.col(key).alias("key")), "_h": split_hash(u, seed), "_u": u})
+    keys = materialize(tagged.select("_k", "_h", "_u"), "split-keys")
+    sizes = keys.groupBy("_k").agg(F.count(F.lit(1)).alias("c"))
+    quotas = materialize(stratum_quotas(sizes, "_k", ratios).select("_k", "valid_q", "test_q"), "split-quotas")
+    cuts = materialize(cut_points(keys, quotas, digits, levels), "split-points")
+    place = F.struct("_h", "_u")
+    split = (
+        F.when(F.coalesce(place <= F.col("_test"), F.lit(False)), F.lit("test"))
+        .when(F.coalesce(place <= F.col("_held"), F.lit(False)), F.lit("valid"))
+        .otherwise(F.lit("train"))
     )
-    table = table.select(key, "_b", "_before", "valid_q", "test_q", whole.alias("_whole"))
-    joined = d.join(F.broadcast(table), [key, "_b"])
-    decided = joined.filter(F.col("_whole").isNotNull()).withColumn("split", F.col("_whole"))
-    edge = joined.filter(F.col("_whole").isNull())
-    inner = Window.partitionBy(key, "_b").orderBy("_h", uid)
-    edge = edge.withColumn("split", _assign(F.col("_before") + F.row_number().over(inner)))
-    return decided.select(*cols).unionByName(edge.select(*cols))
+    return tagged.join(cuts, "_k", "left").select(*df.columns, split.alias("split"))
 
 
 def split_sizes(splits: DataFrame) -> DataFrame:

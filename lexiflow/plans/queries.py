@@ -214,7 +214,16 @@ def _prepared_table(spark, sf):
     return tables.materialize(_prepared(spark, sf), "prepared")
 
 
+def _prepared_keys(spark, sf):
+    """What a split is decided by, without the text."""
+    return tables.materialize(_prepared(spark, sf).select("uid", "label", "domain"), "prepared-keys")
+
+
 def _splits(spark, sf):
+    return split.stratified_split(split.stratify_key(_prepared_keys(spark, sf)))
+
+
+def _text_splits(spark, sf):
     return split.stratified_split(split.stratify_key(_prepared_table(spark, sf)))
 
 
@@ -235,7 +244,7 @@ def q_label_names(spark, sf):
 
 @query("stratify_keys")
 def q_stratify_keys(spark, sf):
-    return split.stratify_key(_prepared_table(spark, sf)).select("uid", "stratify_key")
+    return split.stratify_key(_prepared_keys(spark, sf)).select("uid", "stratify_key")
 
 
 @query("stratified_split")
@@ -255,7 +264,7 @@ def q_split_label_share(spark, sf):
 
 @query("split_invariants")
 def q_split_invariants(spark, sf):
-    p = _prepared_table(spark, sf)
+    p = _prepared_keys(spark, sf)
     return split.split_invariants(split.stratified_split(split.stratify_key(p)), p)
 
 
@@ -439,9 +448,9 @@ def q_union_by_name_sources(spark, sf):
 # ---- training (pyspark.ml), rows-only checks ------------------------------
 @query("train_predict")
 def q_train_predict(spark, sf):
-    return model.train_predict(_splits(spark, sf))
+    return model.train_predict(_text_splits(spark, sf))
 
 
 @query("train_compare")
 def q_train_compare(spark, sf):
-    return model.train_compare(_splits(spark, sf), domain_filter=DOMAIN_FILTER, max_length=tokens.MAX_LENGTH)
+    return model.train_compare(_text_splits(spark, sf), max_length=tokens.MAX_LENGTH)

@@ -1,4 +1,4 @@
-"""Stratified split: exact quotas, both ranking methods equal, invariants."""
+"""Stratified split: exact quotas, equal to brute force, invariants."""
 
 import hashlib
 from collections import Counter
@@ -53,10 +53,21 @@ def test_split_matches_brute_force(spark, keyed):
     assert Counter(got.values()) == Counter({"train": 319, "valid": 40, "test": 40})
 
 
-def test_bucket_equals_rank(spark, keyed):
-    a = {r.uid: r.split for r in split.stratified_split(keyed, method="bucket", digits=1).collect()}
-    b = {r.uid: r.split for r in split.stratified_split(keyed, method="rank").collect()}
-    assert a == b
+@pytest.mark.parametrize(("digits", "levels"), [(1, 1), (1, 3), (2, 1), (2, 2)])
+def test_levels_do_not_change_the_split(spark, keyed, digits, levels):
+    base = {r.uid: r.split for r in split.stratified_split(keyed).collect()}
+    assert {r.uid: r.split for r in split.stratified_split(keyed, digits=digits, levels=levels).collect()} == base
+
+
+def test_repeated_uids_and_nulls(spark):
+    # a hot uid shares one split; null keys and uids keep their rows; an empty table stays empty
+    rows = [("hot", "k")] * 300 + [(f"u{i}", "k") for i in range(600)] + [(f"n{i}", None) for i in range(50)] + [(None, "k")]
+    df = spark.createDataFrame(rows, "uid string, stratify_key string")
+    got = split.stratified_split(df, digits=1, levels=1).collect()
+    assert len(got) == len(rows) and {r.split for r in got if r.uid == "hot"} in ({"train"}, {"valid"}, {"test"})
+    assert sum(r.split != "train" for r in got if r.stratify_key is None) in (9, 10, 11)
+    empty = split.stratified_split(df.limit(0))
+    assert empty.columns == ["uid", "stratify_key", "split"] and empty.count() == 0
 
 
 def test_rare_keys_fall_back_to_label(spark):
@@ -84,11 +95,8 @@ def test_quota_totals(spark):
     assert all(r.train_q + r.valid_q + r.test_q == r.c and min(r.train_q, r.valid_q, r.test_q) >= 0 for r in q)
 
 
-def test_methods_agree_and_invariants_match_setops(spark, keyed):
-    sel = split.stratified_split(keyed, method="select", digits=2)
-    a = {r.uid: r.split for r in sel.collect()}
-    b = {r.uid: r.split for r in split.stratified_split(keyed, method="bucket", digits=2).collect()}
-    assert a == b
+def test_invariants_match_setops(spark, keyed):
+    sel = split.stratified_split(keyed)
     # a deliberately broken split: one train uid also listed as valid
     broken = sel.filter("split = 'train'").limit(1).withColumn("split", split.F.lit("valid")).unionByName(sel)
     inv = {r.check: r.n for r in split.split_invariants(broken, keyed).collect()}
@@ -101,13 +109,6 @@ def test_methods_agree_and_invariants_match_setops(spark, keyed):
 def test_guard_fallbacks_give_same_result(spark, keyed, monkeypatch):
     from lexiflow.operators import joins, profile
 
-    base = {r.uid: r.split for r in split.stratified_split(keyed).collect()}
-    monkeypatch.setattr(split, "MAX_BUCKET_ROWS", 1)  # bucket table "too large" -> shuffle joins
-    assert {r.uid: r.split for r in split.stratified_split(keyed).collect()} == base
-    monkeypatch.setattr(split, "MAX_STRATA", 0)  # key map "too large" -> regular join
-    assert {r.uid: r.stratify_key for r in split.stratify_key(keyed.drop("stratify_key")).collect()} == {
-        r.uid: r.stratify_key for r in keyed.collect()
-    }
     lens = keyed.withColumn("n", split.F.length("text"))
     a = sorted(profile.box_stats(lens, "domain", "n").collect())
     monkeypatch.setattr(joins, "MAX_SMALL_ROWS", 0)
@@ -115,13 +116,11 @@ def test_guard_fallbacks_give_same_result(spark, keyed, monkeypatch):
     assert sorted(profile.box_stats(lens, "domain", "n").collect()) == a
 
 
-def test_hot_stratum_many_buckets_matches_brute_force(spark, monkeypatch):
-    # one stratum holds ~90 % of the rows; small buckets force many boundary checks
+def test_hot_stratum_matches_brute_force(spark):
+    # one stratum holds ~90 % of the rows
     rows = [(f"h{i}", 2, "big") for i in range(9000)] + [(f"s{i}", i % 2, "small") for i in range(1000)]
     df = spark.createDataFrame(rows, "uid string, label int, domain string")
     keyed = split.stratify_key(df)
-    monkeypatch.setattr(split, "ROWS_PER_BUCKET", 100)
-    assert split.choose_digits(9000, 100) == 2
-    got = {r.uid: r.split for r in split.stratified_split(keyed).collect()}
+    got = {r.uid: r.split for r in split.stratified_split(keyed, digits=1).collect()}
     expect = brute_split([(r.uid, r.stratify_key) for r in keyed.collect()])
     assert got == expect

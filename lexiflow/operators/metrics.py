@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions.arrays import argmax, nll
@@ -103,34 +103,27 @@ def classification_report(
     """Rows per class (named), then 'accuracy', 'macro avg', 'weighted avg'."""
     by = list(by)
     pc = per_class(df, label, pred, by, k)
-    classes = pc.select(
-        *by,
-        label_name(F.col("cls"), names).alias("row"),
-        _r(F.col("precision")).alias("precision"),
-        _r(F.col("recall")).alias("recall"),
-        _r(F.col("f1")).alias("f1"),
-        F.col("support"),
-    )
+    fields = ("row", "precision", "recall", "f1", "support")
+
+    def line(*values: Column) -> Column:
+        kinds = ("string", "double", "double", "double", "bigint")
+        return F.struct(*[v.cast(t).alias(c) for v, t, c in zip(values, kinds, fields, strict=True)])
+
+    scores = [_r(F.col(c)) for c in ("precision", "recall", "f1")]
     agg = pc.groupBy(*by).agg(
+        F.collect_list(line(label_name(F.col("cls"), names), *scores, F.col("support"))).alias("classes"),  # k of them
         F.sum("support").alias("n"),
         F.sum("tp").alias("tp"),
-        F.avg(F.when(F.col("present"), F.col("precision"))).alias("mp"),
-        F.avg(F.when(F.col("present"), F.col("recall"))).alias("mr"),
-        F.avg(F.when(F.col("present"), F.col("f1"))).alias("mf"),
-        F.sum(F.col("precision") * F.col("support")).alias("wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("wr"),
-        F.sum(F.col("f1") * F.col("support")).alias("wf"),
+        *[F.avg(F.when(F.col("present"), F.col(c))).alias(f"macro_{c}") for c in ("precision", "recall", "f1")],
+        *[F.sum(F.col(c) * F.col("support")).alias(f"sum_{c}") for c in ("precision", "recall", "f1")],
     )
-    n = F.col("n")
-    acc_row = agg.select(
-        *by, F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"),
-        _r(F.col("tp") / n).alias("f1"), n.cast("bigint").alias("support"),
+    n, none = F.col("n"), F.lit(None)
+    summary = F.array(
+        line(F.lit("accuracy"), none, none, _r(F.col("tp") / n), n),
+        line(F.lit("macro avg"), *[_r(F.col(f"macro_{c}")) for c in ("precision", "recall", "f1")], n),
+        line(F.lit("weighted avg"), *[_r(F.col(f"sum_{c}") / n) for c in ("precision", "recall", "f1")], n),
     )
-    macro = agg.select(*by, F.lit("macro avg").alias("row"), _r(F.col("mp")).alias("precision"), _r(F.col("mr")).alias("recall"),
-                       _r(F.col("mf")).alias("f1"), n.cast("bigint").alias("support"))
-    weighted = agg.select(*by, F.lit("weighted avg").alias("row"), _r(F.col("wp") / n).alias("precision"),
-                          _r(F.col("wr") / n).alias("recall"), _r(F.col("wf") / n).alias("f1"), n.cast("bigint").alias("support"))
-    return classes.unionByName(acc_row).unionByName(macro).unionByName(weighted)
+    return agg.select(*by, F.inline(F.concat("classes", summary)))
 
 
 def confusion_matrix(

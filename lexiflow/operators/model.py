@@ -22,16 +22,16 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.functions.labels import NUM_LABELS
-from lexiflow.functions.text import TOKEN_PATTERN
+from lexiflow.functions.text import N_SPECIAL, TOKEN_PATTERN
 from lexiflow.operators import metrics
 from lexiflow.operators.prep import filter_values
 from lexiflow.operators.runs import run_record
-from lexiflow.sources.tables import materialize
+from lexiflow.sources.tables import dir_size_mb, materialize, scratch_path
 
 
 def with_class_weight(df: DataFrame, weights: DataFrame, label: str = "label", out: str = "class_weight") -> DataFrame:
@@ -40,11 +40,13 @@ def with_class_weight(df: DataFrame, weights: DataFrame, label: str = "label", o
     return df.join(F.broadcast(w), label, "left")
 
 
-def feature_pipeline(num_features: int, text: str = "text") -> Pipeline:
-    """Regex tokens -> hashed term frequencies -> IDF (one pass to fit the IDF)."""
+def feature_pipeline(num_features: int, text: str = "text", max_length: int | None = None) -> Pipeline:
+    """Regex tokens (cut to ``max_length`` less the special ones) -> hashed term frequencies -> IDF."""
+    cut = f"slice(_words, 1, {max(0, max_length - N_SPECIAL)})" if max_length is not None else "_words"
     return Pipeline(
         stages=[
-            RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TOKEN_PATTERN, gaps=False, toLowercase=False),
+            RegexTokenizer(inputCol=text, outputCol="_words", pattern=TOKEN_PATTERN, gaps=False, toLowercase=False),
+            SQLTransformer(statement=f"select *, {cut} as _tokens from __THIS__"),
             HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
             IDF(inputCol="_tf", outputCol="_features"),
         ]
@@ -70,9 +72,10 @@ def train_weighted(
     max_iter: int = 30,
     text: str = "text",
     label: str = "label",
+    max_length: int | None = None,
 ) -> PipelineModel:
     """Fit features + class-weighted multinomial logistic regression as one pipeline model."""
-    stages = feature_pipeline(num_features, text).getStages() + [classifier(reg_param, max_iter, label)]
+    stages = feature_pipeline(num_features, text, max_length).getStages() + [classifier(reg_param, max_iter, label)]
     return Pipeline(stages=stages).fit(_weighted(train, weights, label))
 
 
@@ -82,12 +85,18 @@ def predict(model: PipelineModel, df: DataFrame, out: str = "pred") -> DataFrame
     return model.transform(df).select(*keep, F.col("prediction").cast("int").alias(out))
 
 
-def param_counts(model) -> tuple[int, int]:
-    """(total, trainable) coefficients of the fitted classifier."""
-    lr = model.stages[-1] if isinstance(model, PipelineModel) else model
-    cm = lr.coefficientMatrix
-    total = cm.numRows * cm.numCols + len(lr.interceptVector)
-    return total, total
+def param_counts(model: PipelineModel) -> tuple[int, int]:
+    """(all, fitted) parameters of the classifier: coefficients of features that no training text has stay 0."""
+    lr, idf = model.stages[-1], model.stages[-2]
+    k = lr.numClasses
+    seen = sum(n > 0 for n in idf.docFreq)
+    return k * lr.numFeatures + k, k * seen + k
+
+
+def save_model(spark: SparkSession, model: PipelineModel, path: str) -> float:
+    """Write the model; its size on disk in MB."""
+    model.write().overwrite().save(path)
+    return float(dir_size_mb(spark, path).first()["size_mb"])
 
 
 def _scores(pred: DataFrame) -> tuple[float, float, int]:
@@ -107,12 +116,12 @@ def split_table(splits: DataFrame, domain_filter=None) -> DataFrame:
     return materialize(s, "splits", partition_by="split")
 
 
-def train_predict(splits: DataFrame, domain_filter=None, num_features: int = 1 << 14, reg_param: float = 0.01) -> DataFrame:
+def train_predict(splits: DataFrame, domain_filter=None, num_features: int = 1 << 14, reg_param: float = 0.01, max_length: int | None = None) -> DataFrame:
     """Fit on train with class weights, predict test: ``uid, label, pred``."""
     s = split_table(splits, domain_filter)
     train = s.filter(F.col("split") == "train")
     weights = metrics.class_weights(train, "label", NUM_LABELS)
-    m = train_weighted(train, weights, num_features=num_features, reg_param=reg_param)
+    m = train_weighted(train, weights, num_features=num_features, reg_param=reg_param, max_length=max_length)
     test = s.filter(F.col("split") == "test").select("uid", "text", "label")
     return predict(m, test).select("uid", "label", "pred")
 
@@ -127,11 +136,14 @@ def train_compare(
     domain_filter=None,
     max_length: int | None = None,
     max_iter: int = 30,
+    model_dir: str | None = None,
 ) -> DataFrame:
     """One run record per config: the ``reg_param`` with the best validation
     macro-F1 (the reference keeps the best epoch by the same score), then test
-    scores, sizes and fit time.  Features are fitted once per config and
-    cached; only the classifier is refitted per candidate."""
+    scores, sizes and fit time.  Texts are cut to ``max_length`` tokens before
+    they become features.  Features are fitted once per config and cached; only
+    the classifier is refitted per candidate.  Each model is written to
+    ``model_dir/run_tag`` (a scratch folder if unset) and measured there."""
     spark = splits.sparkSession
     s = split_table(splits, domain_filter)
     sizes = {r["split"]: r["n"] for r in s.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -142,7 +154,7 @@ def train_compare(
     records = []
     for cfg in configs:
         t0 = time.time()
-        feats = feature_pipeline(cfg["num_features"]).fit(train)
+        feats = feature_pipeline(cfg["num_features"], max_length=max_length).fit(train)
         train_f = feats.transform(_weighted(train, weights, "label")).select("_features", "label", "class_weight").persist()
         valid_f = feats.transform(valid).select("_features", "label").persist()
         best = None
@@ -157,7 +169,9 @@ def train_compare(
         _, rp, lr = best
         pred = lr.transform(feats.transform(test)).select("label", F.col("prediction").cast("int").alias("pred"))
         acc, f1, _ = _scores(pred)
-        total, trainable = param_counts(lr)
+        fitted = PipelineModel(stages=[*feats.stages, lr])
+        total, trainable = param_counts(fitted)
+        path = f"{model_dir.rstrip('/')}/{cfg['run_tag']}" if model_dir else scratch_path(spark, f"lexiflow-models/{cfg['run_tag']}")
         records.append(
             run_record(
                 spark,
@@ -172,7 +186,7 @@ def train_compare(
                 trainable_params=trainable,
                 trainable_ratio_pct=trainable * 100.0 / total,
                 train_time_sec=round(elapsed, 3),
-                model_size_mb=total * 8 / (1024 * 1024),
+                model_size_mb=save_model(spark, fitted, path),
                 test_accuracy=acc,
                 test_f1_macro=f1,
                 n_train=sizes.get("train", 0),

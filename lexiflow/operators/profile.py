@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions.text import is_blank
-from lexiflow.operators.joins import collect_small, join_small
+from lexiflow.sources.tables import materialize
 
 DIGITS = 6
 
@@ -151,21 +151,25 @@ def duplicate_counts(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
     return g.agg(*outs)
 
 
+def _value_counts(df: DataFrame, by: str, col: str) -> DataFrame:
+    """(by, _v, _c): rows of each value of ``col`` in each group, counted in one scan and written once."""
+    d = df.filter(F.col(col).isNotNull()).select(by, F.col(col).alias("_v"))
+    return materialize(d.groupBy(by, "_v").agg(F.count(F.lit(1)).alias("_c")), "value-counts")
+
+
 def box_stats(df: DataFrame, by: str, col: str, whis: float = 1.5) -> DataFrame:
     """Box-plot numbers per group: quartiles, and whiskers at the farthest value within
     ``whis``·IQR of the box (never inside the box), as matplotlib draws them with
-    fliers hidden.  Two aggregates; the per-group quartile table (one row per
-    group) is joined back as a size-checked broadcast (``join_small``)."""
-    c = F.col(col)
-    d = df.filter(F.col(by).isNotNull() & c.isNotNull())
-    d = d.select(by, c.alias("_v"))
+    fliers hidden.  The rows are read once, for the count of each (group, value);
+    quartiles and whiskers follow from that written table."""
+    counts = _value_counts(df.filter(F.col(by).isNotNull()), by, col)
     v = F.col("_v")
-    q = d.groupBy(by).agg(F.count(v).alias("_n"), F.percentile(v, [0.25, 0.5, 0.75]).alias("_q"))
+    q = counts.groupBy(by).agg(F.sum("_c").alias("_n"), F.percentile(v, [0.25, 0.5, 0.75], F.col("_c")).alias("_q"))
     q = q.select(by, "_n", F.col("_q")[0].alias("_q1"), F.col("_q")[1].alias("_q2"), F.col("_q")[2].alias("_q3"))
     iqr = F.col("_q3") - F.col("_q1")
     lo = F.col("_q1") - whis * iqr
     hi = F.col("_q3") + whis * iqr
-    w = join_small(d, q, by).groupBy(by, "_n", "_q1", "_q2", "_q3").agg(
+    w = counts.join(q, by).groupBy(by, "_n", "_q1", "_q2", "_q3").agg(
         F.min(F.when(v >= lo, v)).alias("_lo"),
         F.max(F.when(v <= hi, v)).alias("_hi"),
     )
@@ -187,35 +191,25 @@ def histogram(df: DataFrame, by: str, col: str, bins: int = 50, clip_q: float |
     group, last bin closed; equal bounds put every value in the middle bin
     (numpy widens the range by 1/2).  Integer arithmetic, so edges are exact.
     ``n_total`` is the group size before clipping.  All bins are emitted,
-    empty ones with 0.  The global quantile is a scalar subquery (one extra
-    small job), not a cross join or a single-partition window; the per-group
-    range table is joined as a size-checked broadcast.
+    empty ones with 0.  The rows are read once, for the count of each (group,
+    value); quantile, ranges, totals and bins follow from that written table.
     """
-    c = F.col(col)
-    d = df.filter(F.col(by).isNotNull() & c.isNotNull()).select(by, c.alias("_v"))
-    totals = d.groupBy(by).agg(F.count(F.lit(1)).alias("n_total"))
+    counts = _value_counts(df, by, col)
+    d = counts.filter(F.col(by).isNotNull())
+    totals = d.groupBy(by).agg(F.sum("_c").alias("n_total"))
     if clip_q is not None:
-        limit = df.filter(c.isNotNull()).agg(F.percentile(c, clip_q)).scalar()
-        d = d.filter(F.col("_v") <= limit)
-    c = F.col("_v")
-    rng = d.groupBy(by).agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
+        d = d.filter(F.col("_v") <= counts.agg(F.percentile("_v", clip_q, F.col("_c"))).scalar())
+    info = d.groupBy(by).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).join(totals, by)
+    info = materialize(info, "histogram-ranges")
     span = F.col("hi") - F.col("lo")
     step = F.expr(f"((_v - lo) * {int(bins)}) div (hi - lo)")
     b = F.when(span == 0, F.lit(bins // 2)).otherwise(F.least(step, F.lit(bins - 1)))
-    info = rng.join(totals, by)
-    local = collect_small(info)
-    if local is not None:  # one row per group, size checked: broadcast, computed once
-        info = local
-        joined = d.join(F.broadcast(local.select(by, "lo", "hi")), by)
-    else:
-        joined = d.join(info.select(by, "lo", "hi"), by)
-    counts = joined.groupBy(by, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = d.join(info, by).groupBy(by, b.cast("int").alias("bin")).agg(F.sum("_c").alias("n"))
     # every (group, bin) gets a zero row, so empty bins appear without a grid join
     zeros = info.select(by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.lit(0).cast("bigint").alias("n"))
     dense = counts.unionByName(zeros).groupBy(by, "bin").agg(F.sum("n").alias("n"))
-    info_side = F.broadcast(info) if local is not None else info
     width = (F.col("hi") - F.col("lo")).cast("double") / bins
-    return dense.join(info_side, by).select(
+    return dense.join(info, by).select(
         by,
         "bin",
         r6(F.col("lo") + F.col("bin") * width).alias("bin_start"),

@@ -448,7 +448,7 @@ def q_union_by_name_sources(spark, sf):
 # ---- training (pyspark.ml), rows-only checks ------------------------------
 @query("train_predict")
 def q_train_predict(spark, sf):
-    return model.train_predict(_text_splits(spark, sf))
+    return model.train_predict(_text_splits(spark, sf), max_length=tokens.MAX_LENGTH)
 
 
 @query("train_compare")

@@ -124,7 +124,7 @@ def stage_tokens(spark: SparkSession, out: str, candidates: Sequence[int] = toke
 def stage_train(spark: SparkSession, out: str, domains=None, max_length: int = tokens.MAX_LENGTH) -> DataFrame:
     """Stages 5-6: two runs differing in one factor; run records appended under ``OUT/runs``."""
     s = spark.read.parquet(f"{out}/splits")
-    recs = model.train_compare(s, domain_filter=domains, max_length=max_length)
+    recs = model.train_compare(s, domain_filter=domains, max_length=max_length, model_dir=f"{out}/models")
     tables.write_record(recs, f"{out}/runs", mode="append")
     return recs
 

@@ -113,15 +113,18 @@ def materialize(df: DataFrame, name: str, partition_by: str | list[str] | None =
     pipeline), lets later steps read only the columns they need, and with
     ``partition_by`` lets readers of one partition value skip the others.
     """
+    path = scratch_path(df.sparkSession, f"lexiflow-tables/{name}")
+    write_table(df, path, fmt="parquet", partition_by=partition_by)
+    return df.sparkSession.read.parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared ``spark.checkpoint.dir``; what is written there goes when the application ends."""
     import uuid
 
     from lexiflow.session import checkpoint_dir
 
-    spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/lexiflow-tables/{name}-{uuid.uuid4().hex[:12]}"
-    write_table(df, path, fmt="parquet", partition_by=partition_by)
-    # scratch tables go when the application ends
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.parquet(path)
+    return path

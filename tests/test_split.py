@@ -106,16 +106,6 @@ def test_invariants_match_setops(spark, keyed):
     assert inv["missing_from_splits"] == keyed.select("uid").exceptAll(broken.select("uid")).count() == 0
 
 
-def test_guard_fallbacks_give_same_result(spark, keyed, monkeypatch):
-    from lexiflow.operators import joins, profile
-
-    lens = keyed.withColumn("n", split.F.length("text"))
-    a = sorted(profile.box_stats(lens, "domain", "n").collect())
-    monkeypatch.setattr(joins, "MAX_SMALL_ROWS", 0)
-    monkeypatch.setattr(profile, "join_small", lambda b, s, on, how="inner": joins.join_small(b, s, on, how, max_rows=0))
-    assert sorted(profile.box_stats(lens, "domain", "n").collect()) == a
-
-
 def test_hot_stratum_matches_brute_force(spark):
     # one stratum holds ~90 % of the rows
     rows = [(f"h{i}", 2, "big") for i in range(9000)] + [(f"s{i}", i % 2, "small") for i in range(1000)]

@@ -48,7 +48,21 @@ def test_all_stages(spark, tmpdir_path):
     assert rep["recommend_max_length"].first().recommended_max_length in (64, 4096)
 
     recs = stages.stage_train(spark, out)
-    assert recs.count() == 2
+    got = {r.run_tag: r for r in recs.collect()}
+    assert set(got) == {"wide", "compact"}
+    for tag, r in got.items():
+        files = [os.path.join(d, f) for d, _, fs in os.walk(f"{out}/models/{tag}") for f in fs if not f.startswith(("_", "."))]
+        assert files and abs(r.model_size_mb - sum(map(os.path.getsize, files)) / 2**20) < 1e-9
+        assert 0 < r.trainable_params <= r.total_params and r.max_length == 192
     cmp = {r.metric: r for r in stages.stage_compare(spark, out, "wide", "compact").collect()}
     assert set(cmp) >= {"test_accuracy", "test_f1_macro", "trainable_params"}
     assert os.path.isdir(f"{out}/comparison")
+
+
+def test_training_sees_texts_up_to_max_length(spark):
+    from lexiflow.operators import model
+
+    df = spark.createDataFrame([("a b c d e",), ("a b",), ("",)], "text string")
+    feats = model.feature_pipeline(64, max_length=4).fit(df)
+    assert [r._tokens for r in feats.transform(df).collect()] == [["a", "b"], ["a", "b"], []]
+    assert [len(r._tokens) for r in model.feature_pipeline(64).fit(df).transform(df).collect()] == [5, 2, 0]

@@ -31,7 +31,7 @@ from lexiflow.functions.text import N_SPECIAL, TOKEN_PATTERN
 from lexiflow.operators import metrics
 from lexiflow.operators.prep import filter_values
 from lexiflow.operators.runs import run_record
-from lexiflow.sources.tables import dir_size_mb, materialize, scratch_path
+from lexiflow.sources.tables import delete_on_exit, dir_size_mb, materialize, scratch_path
 
 
 def with_class_weight(df: DataFrame, weights: DataFrame, label: str = "label", out: str = "class_weight") -> DataFrame:
@@ -172,6 +172,9 @@ def train_compare(
         fitted = PipelineModel(stages=[*feats.stages, lr])
         total, trainable = param_counts(fitted)
         path = f"{model_dir.rstrip('/')}/{cfg['run_tag']}" if model_dir else scratch_path(spark, f"lexiflow-models/{cfg['run_tag']}")
+        size_mb = save_model(spark, fitted, path)
+        if not model_dir:
+            delete_on_exit(spark, path)
         records.append(
             run_record(
                 spark,
@@ -186,7 +189,7 @@ def train_compare(
                 trainable_params=trainable,
                 trainable_ratio_pct=trainable * 100.0 / total,
                 train_time_sec=round(elapsed, 3),
-                model_size_mb=save_model(spark, fitted, path),
+                model_size_mb=size_mb,
                 test_accuracy=acc,
                 test_f1_macro=f1,
                 n_train=sizes.get("train", 0),

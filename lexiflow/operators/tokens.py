@@ -119,26 +119,34 @@ def wordpiece_vocab(df: DataFrame, n_words: int = 8000, n_chars: int = 2000, tex
     return words.unionByName(pieces).distinct()
 
 
-def wordpiece_len(df: DataFrame, vocab: DataFrame, text: str = "text", max_chars: int = 100, out: str = "wp_len") -> DataFrame:
+#: pieces of a vocabulary that tasks hold in memory; more raise an error
+MAX_PIECES = 1_000_000
+
+
+def wordpiece_len(df: DataFrame, vocab: DataFrame, text: str = "text", max_chars: int | None = 100, out: str = "wp_len") -> DataFrame:
     """WordPiece token count (+2 specials) per row, greedy longest match first.
 
-    The vocabulary is collected once (its size is bounded by how it was built,
-    e.g. ``wordpiece_vocab``) and shipped with the Arrow UDF; the per-row
-    work stays on the executors in Arrow batches.  The UDF is self-contained
-    (no reference to this package), so executors need only pandas and regex.
+    The vocabulary is collected once (more than ``MAX_PIECES`` pieces raise) and
+    shipped with the Arrow UDF; the per-row work stays on the executors in Arrow
+    batches.  The UDF is self-contained (no reference to this package), so executors
+    need only pandas and regex.  A word of more than ``max_chars`` characters is one
+    [UNK], the usual WordPiece rule; None turns it off.
     """
-    pieces = frozenset(r[0] for r in vocab.select("piece").collect()) - {UNK_TOKEN}
+    rows = vocab.select("piece").limit(MAX_PIECES + 1).collect()
+    if len(rows) > MAX_PIECES:
+        raise ValueError(f"the vocabulary has more than {MAX_PIECES} pieces")
+    pieces = frozenset(r[0] for r in rows) - {UNK_TOKEN}
     return df.withColumn(out, wordpiece_udf(pieces, max_chars)(F.col(text)))
 
 
-def wordpiece_udf(pieces: frozenset, max_chars: int = 100):
+def wordpiece_udf(pieces: frozenset, max_chars: int | None = 100):
     """Arrow UDF: text -> WordPiece count (+2 specials) over the given pieces."""
     pattern = TOKEN_PATTERN
     n_special = N_SPECIAL
 
     def count_pieces(word: str) -> int:
         """Greedy longest-match-first; a word with no match at some point is one [UNK]."""
-        if len(word) > max_chars:
+        if max_chars is not None and len(word) > max_chars:
             return 1
         n, start = 0, 0
         while start < len(word):

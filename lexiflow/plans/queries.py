@@ -342,7 +342,7 @@ def q_vocab_top(spark, sf):
 @query("wordpiece_len")
 def q_wordpiece_len(spark, sf):
     p = _prepared_table(spark, sf)
-    vocab = tokens.wordpiece_vocab(p, n_words=2000, n_chars=300)
+    vocab = tokens.wordpiece_vocab(p)
     return tokens.wordpiece_len(p, vocab).select("uid", "wp_len")
 
 

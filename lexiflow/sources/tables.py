@@ -115,16 +115,20 @@ def materialize(df: DataFrame, name: str, partition_by: str | list[str] | None =
     """
     path = scratch_path(df.sparkSession, f"lexiflow-tables/{name}")
     write_table(df, path, fmt="parquet", partition_by=partition_by)
+    delete_on_exit(df.sparkSession, path)
     return df.sparkSession.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared ``spark.checkpoint.dir``; what is written there goes when the application ends."""
+    """A new path under the shared ``spark.checkpoint.dir``."""
     import uuid
 
     from lexiflow.session import checkpoint_dir
 
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """What was written to ``path`` goes when the application ends."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path

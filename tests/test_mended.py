@@ -105,3 +105,13 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Session())
+
+
+def test_scratch_tables_go_when_the_application_ends(spark):
+    from lexiflow.sources import tables
+
+    path = tables.materialize(spark.range(3), "scratch-test").inputFiles()[0].rsplit("/", 1)[0]
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert fs.cancelDeleteOnExit(target)
+    fs.deleteOnExit(target)

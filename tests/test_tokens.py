@@ -1,5 +1,6 @@
 """Token lengths, truncation tables, recommendation, WordPiece."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiflow.operators import tokens
@@ -84,3 +85,13 @@ def test_python_and_java_tokenizers_agree(spark):
     vocab = tokens.token_counts(p).select(F.col("token").alias("piece"))
     rows = tokens.wordpiece_len(p, vocab, max_chars=10_000).select("token_len", "wp_len").collect()
     assert len(rows) > 50 and all(r.token_len == r.wp_len for r in rows)
+
+
+def test_wordpiece_bounds(spark, monkeypatch):
+    df = spark.createDataFrame([("abababab",)], "text string")
+    vocab = spark.createDataFrame([("a",), ("##b",), ("##a",)], "piece string")
+    assert tokens.wordpiece_len(df, vocab, max_chars=4).first().wp_len == 3
+    assert tokens.wordpiece_len(df, vocab, max_chars=None).first().wp_len == 10
+    monkeypatch.setattr(tokens, "MAX_PIECES", 2)
+    with pytest.raises(ValueError, match="more than 2 pieces"):
+        tokens.wordpiece_len(df, vocab)

@@ -23,13 +23,13 @@ def main() -> None:
     ap.add_argument("--out", default=os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"))
     args = ap.parse_args()
 
-    from __spark_entry__ import queries
+    from lexiflow.plans.queries import QUERIES
     from lexiflow.plans.inspect import plan_facts
     from lexiflow.session import get_spark
 
     spark = get_spark("plan_report")
     rows = []
-    for key, fn in queries().items():
+    for key, fn in QUERIES.items():
         if key in ("train_predict", "train_compare"):
             continue
         f = plan_facts(fn(spark, args.sf))
@@ -57,7 +57,8 @@ def main() -> None:
         "inside an aggregation buffer or a struct key is not named there: the de-duplication",
         "shuffle (row in a `min(struct)` buffer) and the duplicate counts (text as a grouping-set",
         "key) carry text but count under 'shuffles' only.  Training keys are left out (their",
-        "plans are pyspark.ml stages).",
+        "plans are pyspark.ml stages).  Jobs that run while a result is built (written tables,",
+        "such as the split's keys and cut points or value counts) are not in these plans.",
         "",
         "| " + " | ".join(head) + " |",
         "|" + "---|" * len(head),

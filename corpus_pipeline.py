@@ -23,26 +23,26 @@ from lexiflow.sources.tables import materialize
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below the threshold go."""
     names = docs.columns
-    whole = docs.select("doc_id", "text", F.struct(*names).alias("_row"))
+    whole = docs.select("doc_id", "text", F.struct(*[f"`{c}`" for c in names]).alias("_row"))
     scored = score_quality(whole, ["_row"])
     return scored.where(F.col("quality_score") >= THRESHOLD).select("_row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from the texts; documents stay, ``n_chars`` counts what is left."""
-    cleaned = line_dedup(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row")))
+    cleaned = line_dedup(docs.select("doc_id", "text", "source", F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row")))
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
     return cleaned.select(*[new.get(c, F.col(f"_row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
-    return jaccard_join(docs, keep=docs.columns).where("kept").select("kept_row.*")
+    return jaccard_join(docs, keep=[f"`{c}`" for c in docs.columns]).where("kept").select("kept_row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them: none, once, or up to three times."""
-    mixed = mix(docs, keep=docs.columns)
+    mixed = mix(docs, keep=[f"`{c}`" for c in docs.columns])
     return mixed.where("copies > 0").select("kept_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("kept_row.*")
 
 

@@ -61,7 +61,8 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, id
     Rows equal in doc_id, text and source are one occurrence and keep the same lines.
     ``n_lines`` and ``n_removed`` replace input columns of these names.
     """
-    key = "_row_key"
+    taken = {c.lower() for c in docs.columns}
+    key, gone_key, gone_at = (next(n for i in range(len(taken) + 1) if (n := f"_{i}{name}") not in taken) for name in ("row", "gone_row", "gone_at"))
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     site = F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
     base = docs.select(_row_key(id_col, text_col, source_col).alias("row"), site.alias("site"), F.col(text_col).cast("string").alias("text"))
@@ -73,10 +74,11 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, id
     gone = hits.join(first, ["h1", "h2"]).where("row <> first.row or pos <> first.pos")
     gone = gone.groupBy("row").agg(F.collect_set("pos").alias("gone"))
     parts = F.split(text_col, "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False))), "\n")
-    joined = docs.select(*cols).withColumn(key, _row_key(id_col, text_col, source_col)).join(gone.withColumnRenamed("row", "_gone_row"), F.expr(f"{key} <=> _gone_row"), "left")
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.coalesce(F.array_contains(gone_at, i), F.lit(False))), "\n")
+    gone = gone.select(F.col("row").alias(gone_key), F.col("gone").alias(gone_at))
+    joined = docs.select(*[F.col(f"`{c}`") for c in cols]).withColumn(key, _row_key(id_col, text_col, source_col)).join(gone, F.expr(f"{key} <=> {gone_key}"), "left")
     return joined.select(
-        *[(F.when(F.col("gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c)) for c in cols],
+        *[(F.when(F.col(gone_at).isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`")) for c in cols],
         F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(parts)).alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size(gone_at), F.lit(0)).alias("n_removed"),
     )

@@ -109,6 +109,8 @@ def test_line_dedup_equals_brute_force(docs, empty):
     want = bag((r[0], None if r[1] is None else clean(r), r[4]) for r in ROWS)
     out = line_dedup(docs)
     assert bag((r.doc_id, r.text, r.n_chars) for r in out.collect()) == want
+    clash = docs.selectExpr("doc_id", "text", "source", "n_chars", *[f"1 as `{c}`" for c in ("gone", "_gone_row", "_0row", "h1", "line", "a.b")])
+    assert bag((r.doc_id, r.text, r.n_chars) for r in line_dedup(clash).collect()) == want
     assert any("Shared line" in (r[1] or "") and not clean(r).count("Shared") for r in ROWS if r[1])
     assert line_dedup(empty).count() == 0
 
@@ -284,6 +286,15 @@ def test_align_counts_edits():
     assert (s, n, t, m, hits) == (0, 60, 1, 60, 59)
 
 
+def test_periodic_passages_are_found(spark):
+    rng = random.Random(11)
+    around = lambda: " ".join(words(rng, 30))
+    rows = [(i, f"{around()} {' '.join(['of'] * n)} {around()}") for i, n in ((1, 60), (2, 90), (3, 75))]
+    rows += [(4, around() + " x y" * 40), (5, " x y" * 35 + around()), (6, around())]
+    named = {x for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() for x in (r.doc_id, r.other_id)}
+    assert named == {1, 2, 3, 4, 5}
+
+
 def test_passages_are_found_and_clean_documents_left_alone(docs, empty):
     got = repeated_passages(docs).collect()
     named = {x for r in got for x in (r.doc_id, r.other_id)}

@@ -29,8 +29,8 @@ def test_sql(spark, key):
 
 def test_stages_keep_columns_and_pass_on_rows(spark):
     first = docs = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = {"score": "1", "kept_row": "2", "row": "x"}
-    docs = docs.selectExpr("*", *[f"'{v}' as {k}" for k, v in extra.items()])
+    extra = {"score": "1", "kept_row": "2", "row": "x", "a.b": "4", "gone": "5"}
+    docs = docs.selectExpr("*", *[f"'{v}' as `{k}`" for k, v in extra.items()])
     columns, counts = docs.dtypes, [docs.count()]
     for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF), "t")

@@ -126,12 +126,16 @@ def train_predict(splits: DataFrame, domain_filter=None, num_features: int = 1 <
     return predict(m, test).select("uid", "label", "pred")
 
 
+#: the two runs that are compared: same split, weights and seed, other feature space
+RUN_CONFIGS = (
+    {"run_tag": "wide", "method": "hashed_tfidf_wide", "num_features": 1 << 14},
+    {"run_tag": "compact", "method": "hashed_tfidf_compact", "num_features": 1 << 10},
+)
+
+
 def train_compare(
     splits: DataFrame,
-    configs: Sequence[dict] = (
-        {"run_tag": "wide", "method": "hashed_tfidf_wide", "num_features": 1 << 14},
-        {"run_tag": "compact", "method": "hashed_tfidf_compact", "num_features": 1 << 10},
-    ),
+    configs: Sequence[dict] = RUN_CONFIGS,
     reg_params: Sequence[float] = (0.01, 0.1),
     domain_filter=None,
     max_length: int | None = None,

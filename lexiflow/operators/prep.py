@@ -110,20 +110,22 @@ def unmapped_rows(df: DataFrame, mapping: Mapping[int, int] = POLARITY_TO_LABEL)
 
 
 def prep_funnel(df: DataFrame, mapping: Mapping[int, int] = POLARITY_TO_LABEL) -> DataFrame:
-    """Rows kept after each step: one aggregate over the input, one over the de-duplicated rows."""
-    d = with_label_int(df)
-    head = d.agg(
-        F.count(F.lit(1)).alias("loaded"),
-        F.count_if(F.col("polarity").isNotNull()).alias("labelled"),
-    )
-    s = staged(df, mapping)
-    tail = s.agg(
-        F.count(F.lit(1)).alias("deduplicated"),
-        F.count_if(F.length("text") > 0).alias("non_empty"),
-        F.count_if((F.length("text") > 0) & F.col("label").isNotNull()).alias("mapped"),
+    """Rows kept after each step, from one scan: rows are counted per (labelled, uid) while
+    the first row of the uid is found, and the steps are sums over these groups.
+    Unlabelled rows share one group, which partial aggregation reduces to a row per task."""
+    d = with_uid(with_label_int(df)).withColumn("_labelled", F.col("polarity").isNotNull())
+    first = F.min(F.when(F.col("_labelled"), F.struct("file_path", "pos", "raw_text", "label_int"))).alias("_first")
+    groups = d.groupBy("_labelled", F.when(F.col("_labelled"), F.col("uid")).alias("uid")).agg(F.count(F.lit(1)).alias("_n"), first)
+    kept = groups.select("_labelled", "_n", F.col("_first.raw_text").alias("raw_text"), F.col("_first.label_int").alias("label_int"))
+    kept = with_label(with_clean_text(kept), mapping)
+    full = F.col("_labelled") & (F.length("text") > 0)
+    wide = kept.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("loaded"),
+        F.coalesce(F.sum(F.when(F.col("_labelled"), F.col("_n"))), F.lit(0)).alias("labelled"),
+        F.count_if(F.col("_labelled")).alias("deduplicated"),
+        F.count_if(full).alias("non_empty"),
+        F.count_if(full & F.col("label").isNotNull()).alias("mapped"),
     )
     steps = ["loaded", "labelled", "deduplicated", "non_empty", "mapped"]
-    long_head = head.unpivot([], ["loaded", "labelled"], "step", "n_rows")
-    long_tail = tail.unpivot([], ["deduplicated", "non_empty", "mapped"], "step", "n_rows")
-    order = F.element_at(F.create_map(*[x for i, s_ in enumerate(steps) for x in (F.lit(s_), F.lit(i + 1))]), F.col("step"))
-    return long_head.unionByName(long_tail).select(order.alias("step_no"), "step", F.col("n_rows").cast("bigint"))
+    order = F.array_position(F.array(*[F.lit(x) for x in steps]), F.col("step")).cast("int")
+    return wide.unpivot([], steps, "step", "n_rows").select(order.alias("step_no"), "step", F.col("n_rows").cast("bigint"))

@@ -130,6 +130,12 @@ def duplicate_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return g.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("n_dup"))
 
 
+def text_key(col: str) -> Column:
+    """Key of a text for ``duplicate_counts``: SHA-256 and length, so that no text is
+    shuffled; no two texts of equal SHA-256 are known.  Null texts share a key."""
+    return F.struct(F.sha2(F.col(col).cast("binary"), 256).alias("sha256"), F.length(col).alias("n"))
+
+
 def duplicate_counts(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """Several duplicate counts (rows repeating an earlier row on a key) from one scan.
 
@@ -240,9 +246,7 @@ def groups_by_median(df: DataFrame, by: str, col: str) -> DataFrame:
 
 
 def distinct_groups(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(dimension, value) for the distinct values of each column, nulls kept."""
-    parts = [df.select(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")).distinct() for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(dimension, value) for the distinct values of each column, nulls kept; one scan,
+    and each task passes on one row per distinct value."""
+    pairs = [F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in cols]
+    return df.select(F.inline(F.array(*pairs))).distinct()

@@ -56,6 +56,16 @@ def run_record(spark: SparkSession, **fields) -> DataFrame:
     return spark.createDataFrame([row], RUN_SCHEMA)
 
 
+def resolve_tag(runs: DataFrame, name: str, tag: str = "run_tag") -> str:
+    """The tag ``name`` itself if a run has it, else the latest of the tags ``name-...-<start time>``."""
+    own = F.col(tag) == name
+    latest = F.max_by(tag, F.substring_index(tag, "-", -1))
+    row = runs.filter(own | F.col(tag).startswith(f"{name}-")).agg(F.bool_or(own).alias("own"), latest.alias("latest")).first()
+    if row is None or row["latest"] is None:
+        raise ValueError(f"no run is tagged {name!r}")
+    return name if row["own"] else row["latest"]
+
+
 def compare_runs(runs: DataFrame, a: str, b: str, metrics: Sequence[str] = COMPARE_METRICS, tag: str = "run_tag") -> DataFrame:
     """metric, run_a, run_b, diff (b - a), ratio (b / a), pct_reduction ((1 - b/a) * 100), factor (a / b).
 

@@ -473,6 +473,33 @@ from (select token, count(*) as n from (select unnest({tokens_sql('text')}) as t
 order by n desc, token limit 50""",
 )
 
+# Continuation pieces are single characters, so the greedy match is the longest known
+# prefix followed by one piece per character; an unknown character makes the word [UNK].
+cte("wp_tokens", ["prepared"], f"select uid, unnest({tokens_sql('text')}) as token from prepared")
+cte("wp_counts", ["wp_tokens"], "select token, count(*) as n from wp_tokens group by token")
+cte("wp_words", ["wp_counts"], "select token as piece from wp_counts order by n desc, token limit 8000")
+cte(
+    "wp_chars",
+    ["wp_counts"],
+    """select ch as piece from (select unnest(regexp_extract_all(token, '(?s).')) as ch, n from wp_counts)
+group by ch order by sum(n) desc, ch limit 2000""",
+)
+cte("wp_places", ["wp_counts"], "select token, unnest(range(1, length(token) + 1)) as i from wp_counts")
+cte(
+    "wp_pieces",
+    ["wp_places", "wp_words", "wp_chars"],
+    """select token, max(case when left(token, i) in (select piece from wp_words union select piece from wp_chars) then i end) as prefix,
+  max(case when substr(token, i, 1) not in (select piece from wp_chars) then i else 0 end) as unknown
+from wp_places group by token""",
+)
+oracle(
+    "wordpiece_len",
+    ["wp_tokens", "wp_pieces"],
+    """select uid, cast(2 + sum(case when length(token) > 100 or prefix is null or unknown > prefix then 1
+  else 1 + length(token) - prefix end) as integer) as wp_len
+from wp_tokens join wp_pieces using (token) group by uid""",
+)
+
 # ---- metrics over fixture predictions ------------------------------------
 cte("cc", ["predictions_long"], "select run, label, pred, count(*) as n from predictions_long group by run, label, pred")
 cte(

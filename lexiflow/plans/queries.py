@@ -181,7 +181,7 @@ def q_duplicate_profile(spark, sf):
     return profile.duplicate_counts(
         d,
         {
-            "n_dup_text": F.struct("raw_text"),
+            "n_dup_text": profile.text_key("raw_text"),
             "n_dup_index": F.struct("review_index"),
             "n_dup_uid": F.when(F.col("polarity").isNotNull(), F.struct("uid")),
         },

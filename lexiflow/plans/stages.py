@@ -5,7 +5,7 @@
     python -m lexiflow.plans.stages lengths  --out OUT
     python -m lexiflow.plans.stages tokens   --out OUT [--candidates 64,96,...]
     python -m lexiflow.plans.stages train    --out OUT [--domains a,b]
-    python -m lexiflow.plans.stages compare  --out OUT --a TAG --b TAG
+    python -m lexiflow.plans.stages compare  --out OUT --a TAG --b TAG   (or wide, compact: the latest run)
 
 Tables are Parquet under ``OUT`` (``combined``, ``splits`` partitioned by
 ``split``, ``train_tokens``), reports are small JSON-lines folders under
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,16 +123,23 @@ def stage_tokens(spark: SparkSession, out: str, candidates: Sequence[int] = toke
 
 
 def stage_train(spark: SparkSession, out: str, domains=None, max_length: int = tokens.MAX_LENGTH) -> DataFrame:
-    """Stages 5-6: two runs differing in one factor; run records appended under ``OUT/runs``."""
+    """Stages 5-6: two runs differing in one factor; run records appended under ``OUT/runs``.
+
+    A tag names the run: configuration, domains, maximum length and start time."""
     s = spark.read.parquet(f"{out}/splits")
-    recs = model.train_compare(s, domain_filter=domains, max_length=max_length, model_dir=f"{out}/models")
+    started = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
+    what = "-".join(["+".join(domains) if domains else "all", str(max_length), started])
+    configs = [{**c, "run_tag": f"{c['run_tag']}-{what}"} for c in model.RUN_CONFIGS]
+    recs = model.train_compare(s, configs, domain_filter=domains, max_length=max_length, model_dir=f"{out}/models")
     tables.write_record(recs, f"{out}/runs", mode="append")
     return recs
 
 
 def stage_compare(spark: SparkSession, out: str, a: str, b: str) -> DataFrame:
-    """Stage 7: side-by-side comparison of two stored runs."""
+    """Stage 7: side-by-side comparison of two stored runs, given by tag or by the
+    configuration's name, which means its latest run."""
     recs = spark.read.schema(runs.RUN_SCHEMA).json(f"{out}/runs")
+    a, b = runs.resolve_tag(recs, a), runs.resolve_tag(recs, b)
     cmp = runs.compare_runs(recs, a, b)
     tables.write_table(cmp.coalesce(1), f"{out}/comparison", fmt="csv", bom=True)
     return cmp

@@ -21,6 +21,18 @@ def test_a_valid_file_above_the_variant_limit_keeps_all_rows(spark):
     assert ex.count() == n
 
 
+def test_a_list_above_the_variant_limit_inside_an_object_keeps_all_rows(spark):
+    root = tempfile.mkdtemp(prefix="lexiflow-large-")
+    review = json.dumps({"Index": 1, "RawText": "x" * 1000, "GeneralPolarity": "1"})
+    n = 140_000
+    with open(f"{root}/large.json", "w") as f:
+        f.write('{"meta": {"v": 1}, "looks": "[1, 2]", "empty": null, "reviews": [' + ",".join([review] * n) + ", 7]}")
+    raw = ji.read_raw(spark, root)
+    assert ji.explode_payloads(raw).count() == n
+    status = ji.payload_status(raw).first()
+    assert (status["kind"], status["n_rows"], status["n_skipped"]) == ("object", n, 1)
+
+
 @pytest.mark.parametrize(
     ("payload", "kind", "n"),
     [

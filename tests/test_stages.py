@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiflow.plans import fixtures as fx
@@ -49,7 +50,7 @@ def test_all_stages(spark, tmpdir_path):
 
     recs = stages.stage_train(spark, out)
     got = {r.run_tag: r for r in recs.collect()}
-    assert set(got) == {"wide", "compact"}
+    assert sorted(t.split("-")[:3] for t in got) == [["compact", "all", "192"], ["wide", "all", "192"]]
     for tag, r in got.items():
         files = [os.path.join(d, f) for d, _, fs in os.walk(f"{out}/models/{tag}") for f in fs if not f.startswith(("_", "."))]
         assert files and abs(r.model_size_mb - sum(map(os.path.getsize, files)) / 2**20) < 1e-9
@@ -59,6 +60,17 @@ def test_all_stages(spark, tmpdir_path):
     assert os.path.isdir(f"{out}/comparison")
 
 
+def test_a_name_means_its_latest_run(spark):
+    from lexiflow.operators import runs
+
+    tags = ["wide-all-192-20250101T000000000001", "wide-en-256-20250301T000000000001", "wide-all-192-20250201T000000000001", "compact"]
+    recs = spark.createDataFrame([(t,) for t in tags], "run_tag string")
+    assert runs.resolve_tag(recs, "wide") == tags[1]
+    assert runs.resolve_tag(recs, tags[0]) == tags[0] and runs.resolve_tag(recs, "compact") == "compact"
+    with pytest.raises(ValueError):
+        runs.resolve_tag(recs, "other")
+
+
 def test_training_sees_texts_up_to_max_length(spark):
     from lexiflow.operators import model
 

@@ -4,7 +4,7 @@ import duckdb
 
 import __spark_entry__ as entry_mod
 
-ROWS_ONLY = {"wordpiece_len", "train_predict", "train_compare"}
+ROWS_ONLY = {"train_predict", "train_compare"}
 
 
 def test_entry_runs(spark):

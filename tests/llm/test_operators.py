@@ -20,7 +20,7 @@ from lexiflow.llm.line_dedup import line_dedup
 from lexiflow.llm.mixing import mix
 from lexiflow.llm.quality import score_quality
 from lexiflow.llm.queries import QUERIES, tokenizer_path
-from lexiflow.llm.substring_dedup import align, chain, repeated_passages
+from lexiflow.llm.substring_dedup import align, chain, common, repeated_passages
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, row string, kept boolean, score double, bucket int"
 SYLLABLES = ["an", "re", "ti", "on", "sta", "mo", "ve", "li", "ku", "per", "da", "shi"]
@@ -295,6 +295,33 @@ def test_periodic_passages_are_found(spark):
     assert named == {1, 2, 3, 4, 5}
 
 
+def test_common_words_equal_dynamic_programming():
+    rng = random.Random(3)
+    for _ in range(60):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        for cells in (1 << 26, 20):
+            got = common(a, b, cells)
+            assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+
+
+def test_two_passages_of_one_pair_are_split(spark):
+    rng = random.Random(13)
+    one, two = words(rng, 80), words(rng, 80)
+    fill = lambda n, w: [f"{w}{i}" for i in range(n)]
+    rows = [(1, one + fill(100, "p") + two), (2, one + fill(100, "q") + two)]
+    rows += [(3, [x + "a" for x in one + two]), (4, [x + "a" for x in one] + fill(100, "r") + [x + "a" for x in two])]
+    got = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    spans = {(r.doc_id, r.start, r.length) for r in got} | {(r.other_id, r.other_start, r.other_length) for r in got}
+    assert {s for s in spans if s[0] in (1, 2)} == {(d, s, 80) for d in (1, 2) for s in (0, 180)}
+    assert {s for s in spans if s[0] == 4} == {(4, 0, 80), (4, 180, 80)} and {s for s in spans if s[0] == 3} == {(3, 0, 80), (3, 80, 80)}
+    assert all(r.identity == 1 for r in got)
+
+
 def test_passages_are_found_and_clean_documents_left_alone(docs, empty):
     got = repeated_passages(docs).collect()
     named = {x for r in got for x in (r.doc_id, r.other_id)}

@@ -322,6 +322,21 @@ def test_two_passages_of_one_pair_are_split(spark):
     assert all(r.identity == 1 for r in got)
 
 
+def test_edited_passages_are_found(spark):
+    rng = random.Random(17)
+    rows, edited = [], {}
+    for i in range(160):
+        rate, p = (5, 10, 20, 0)[i % 4], words(rng, 100 if i % 4 < 3 else 60)
+        places = set(rng.sample(range(1, 99), rate)) if rate else set(range(7, 60, 8))
+        q = [f"edit{i}x{j}" if j in places else w for j, w in enumerate(p)]
+        for d, t in ((2 * i, p), (2 * i + 1, q)):
+            rows.append((d, " ".join(words(rng, 30) + t + words(rng, 30))))
+        edited[2 * i] = rate
+    got = {min(r.doc_id, r.other_id) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if abs(r.doc_id - r.other_id) == 1}
+    recall = {rate: np.mean([d in got for d, r in edited.items() if r == rate]) for rate in (0, 5, 10, 20)}  # 0: every 8th of 60 words
+    assert recall[0] == recall[5] == recall[10] == 1 and recall[20] >= 0.9
+
+
 def test_passages_are_found_and_clean_documents_left_alone(docs, empty):
     got = repeated_passages(docs).collect()
     named = {x for r in got for x in (r.doc_id, r.other_id)}

@@ -322,6 +322,25 @@ def test_two_passages_of_one_pair_are_split(spark):
     assert all(r.identity == 1 for r in got)
 
 
+def test_every_copy_of_a_passage_is_found(spark):
+    rng = random.Random(19)
+    p, around = words(rng, 70), lambda: words(rng, 40)
+    quote = p[20:40]
+    texts = {1: [p, p], 2: [p], 3: [quote, p, p, p], 4: [p], 5: [p, p, quote]}
+    rows, places = [], set()
+    for d, parts in texts.items():
+        t = around()
+        for x in parts:
+            if x is p:
+                places.add((d, len(t)))
+            t = t + x + around()
+        rows.append((d, " ".join(t)))
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = [(r.doc_id, r.start, r.length) for r in got] + [(r.other_id, r.other_start, r.other_length) for r in got]
+    found = {(d, at) for d, at in places for i, s, n in spans if i == d and s <= at + 2 and s + n >= at + 68 and n < 80}
+    assert found == places
+
+
 def test_edited_passages_are_found(spark):
     rng = random.Random(17)
     rows, edited = [], {}

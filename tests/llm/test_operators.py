@@ -341,6 +341,23 @@ def test_every_copy_of_a_passage_is_found(spark):
     assert found == places
 
 
+def test_passages_of_lines_that_stand_elsewhere_are_found(spark):
+    rng = random.Random(23)
+    rows, pairs = [], set()
+    for g in range(30):
+        lines = [words(rng, 20) for _ in range(3)]
+        texts = {7: sum(lines, []), 9: sum(lines, [])}
+        for j, line in enumerate(lines):
+            # around the ends as well: what two lines have at their border stands elsewhere too
+            texts[1 + j], texts[20 + j] = line, line
+        texts[4] = texts[30] = lines[0][-6:] + lines[1][:6]
+        texts[5] = texts[31] = lines[1][-6:] + lines[2][:6]
+        pairs.add((100 * g + 7, 100 * g + 9))
+        rows += [(100 * g + d, " ".join(words(rng, 30) + t + words(rng, 30))) for d, t in texts.items()]
+    got = {tuple(sorted((r.doc_id, r.other_id))) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == pairs
+
+
 def test_edited_passages_are_found(spark):
     rng = random.Random(17)
     rows, edited = [], {}

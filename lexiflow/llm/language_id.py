@@ -20,12 +20,13 @@ from lexiflow.sources.tables import materialize
 N = 5
 HASHES = 3
 SLOT_BITS = 20
-#: labelled rows the filters are learned from, at most about so many, chosen by hash
+#: labelled rows of each language the filters are learned from, at most about so many, chosen by hash
 SAMPLE_ROWS = 20_000
 MIN_COUNT = 4
 #: an n-gram belongs to the languages whose rate is at least this share of the highest rate
 RATE_SHARE = 0.3
-MAX_LANGUAGES = 63
+#: languages of a mask word; a table has as many words a slot as its languages need
+WORD = 64
 
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -60,29 +61,36 @@ def held_out(id_col: str) -> Column:
 
 
 class Filters:
-    """Languages in order, their bitmask table and the false-positive rate of each filter."""
+    """Languages in order, their bitmask table (slots x words) and the false-positive rate of each filter."""
 
     def __init__(self, languages: list[str], table: np.ndarray, prior: int):
         self.languages, self.table, self.prior = languages, table, prior
         self.state = {"languages": languages, "table": table, "prior": prior}
-        fill = np.array([((table >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
+        fill = np.array([((table[:, i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).mean() for i in range(len(languages))])
         self.false = np.minimum(fill**HASHES, 0.99)
 
 
+def limit(sample_rows: int, rows: int) -> int:
+    """The 64-bit hash up to which about ``sample_rows`` of ``rows`` rows lie; the highest if there are no more."""
+    return min(max((sample_rows << 64) // rows, 1), 1 << 64) - 1 - (1 << 63)
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, slot_bits: int = SLOT_BITS) -> Filters | None:
     """Filters from the text of rows with a language that are not held out; None if there is no such row.
 
-    The sample is bounded by ``sample_rows`` and its rows are read in whole.  What
-    reaches the driver is one table of 2^slot_bits masks and one count per language.
+    Each language gives about ``sample_rows`` rows, or all if it has no more, so what is
+    learned of one doesn't depend on the others' sizes; rows are read in whole.  What reaches
+    the driver is one table of 2^slot_bits masks for every 64 languages and one count per language.
     """
     known = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
-    share = min(1.0, sample_rows / sum(sizes.values()))
-    part = known.where(F.pmod(F.xxhash64(F.lit(8), "id", "text"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0))
-    part = part.select(F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")).cast("int").alias("lang"), padded(F.col("text")).alias("text")).where("lang > 0")
+    words = -(-len(languages) // WORD)
+    part = known.select(F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")).cast("int").alias("lang"), "id", "text")
+    limits = F.array(*[F.lit(limit(sample_rows, sizes[x])).cast("long") for x in languages])
+    part = part.where(F.xxhash64(F.lit(8), "id", "text") <= F.element_at(limits, F.col("lang"))).select("lang", padded(F.col("text")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,27 +107,29 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     total = F.element_at(F.array(*[F.lit(float(totals.get(i, 0) or 1)) for i in range(len(languages))]), F.col("lang") + 1)
     rated = counts.where(F.col("n") >= MIN_COUNT).groupBy("g").agg(F.collect_list(F.struct("lang", (F.col("n") / total).alias("rate"))).alias("v"))
     top = F.array_max(F.transform("v", lambda x: x["rate"]))
-    mask = F.aggregate(F.filter("v", lambda x: x["rate"] >= top * RATE_SHARE), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"])))
+    kept = F.filter("v", lambda x: x["rate"] >= top * RATE_SHARE)
+    bits = lambda w: F.aggregate(F.filter(kept, lambda x: F.floor(x["lang"] / WORD) == w), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"] % WORD)))
+    masks = rated.select("g", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(words - 1)), bits)).alias("word", "mask")).where("mask <> 0")
     ranges = 64
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            code, m = b.column("g").to_numpy().view(np.uint64), b.column("mask").to_numpy()
+            code, m, word = b.column("g").to_numpy().view(np.uint64), b.column("mask").to_numpy(), b.column("word").to_numpy()
             slot = np.concatenate(list(positions(code, slot_bits)))
-            yield pa.RecordBatch.from_arrays([pa.array(slot % ranges), pa.array(slot), pa.array(np.tile(m, HASHES))], names=["part", "slot", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot % ranges), pa.array(np.tile(word, HASHES)), pa.array(slot), pa.array(np.tile(m, HASHES))], names=["part", "word", "slot", "mask"])
 
-    slots = rated.select("g", mask.alias("mask")).mapInArrow(place, "part long, slot long, mask long").groupBy("part", "slot").agg(F.bit_or("mask").alias("mask"))
+    slots = masks.mapInArrow(place, "part long, word int, slot long, mask long").groupBy("part", "word", "slot").agg(F.bit_or("mask").alias("mask"))
 
-    def pack(pdf):  # one row per range of slots: at most 2^slot_bits / ranges masks
+    def pack(pdf):  # one row per word and range of slots: at most 2^slot_bits / ranges masks
         import pandas as pd
 
         m = np.zeros((1 << slot_bits) // ranges, np.int64)
         m[pdf["slot"].to_numpy() // ranges] = pdf["mask"].to_numpy()
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "masks": [m.tobytes()]})
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "word": [pdf["word"].iloc[0]], "masks": [m.tobytes()]})
 
-    table = np.zeros(1 << slot_bits, np.uint64)
-    for r in slots.groupBy("part").applyInPandas(pack, "part long, masks binary").collect():
-        table[r["part"] :: ranges] = np.frombuffer(r["masks"], np.uint64)
+    table = np.zeros((1 << slot_bits, words), np.uint64)
+    for r in slots.groupBy("part", "word").applyInPandas(pack, "part long, word int, masks binary").toLocalIterator():
+        table[r["part"] :: ranges, r["word"]] = np.frombuffer(r["masks"], np.uint64)
     return Filters(languages, table, max(range(len(languages)), key=lambda i: sizes[languages[i]]))
 
 
@@ -127,16 +137,20 @@ def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Filters(**shared.value)
         width = np.uint8 if len(f.languages) <= 8 else np.uint64
-        table = f.table.astype(width)
+        table = [np.ascontiguousarray(w) for w in f.table.T.astype(width)]
         for batch in batches:
             for b in slices(batch, "text"):
                 code, row = ngrams(b.column("text"))
                 n = len(b)
-                hit = np.full(len(code), np.iinfo(width).max, width)
-                for slot in positions(code, int(len(table)).bit_length() - 1):
-                    hit &= table[slot]
+                slots = list(positions(code, len(f.table).bit_length() - 1))
                 seen = np.maximum(np.bincount(row, minlength=n), 1)
-                rate = np.stack([np.bincount(row, weights=(hit >> width(i)) & width(1), minlength=n) / seen for i in range(len(f.languages))], axis=1)
+                rate = np.empty((n, len(f.languages)))
+                for i in range(len(f.languages)):
+                    if i % WORD == 0:
+                        hit = np.full(len(code), np.iinfo(width).max, width)
+                        for slot in slots:
+                            hit &= table[i // WORD][slot]
+                    rate[:, i] = np.bincount(row, weights=(hit >> width(i % WORD)) & width(1), minlength=n) / seen
                 rate = np.clip((rate - f.false) / (1 - f.false), 0, 1)
                 best, total = rate.argmax(1), rate.sum(1)
                 best[total == 0] = f.prior
@@ -155,8 +169,8 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Predictions depend on the text alone.  ``und`` (score 0) if the text is null or has
     no letter, or if no row has a language to learn from; a text none of whose n-grams
     is known gets the commonest language with score 0.  ``score`` is the winner's share
-    of all corrected popcounts; ties go to the first language by code point.  The 63
-    commonest languages are learned.  An empty table gives an empty result.
+    of all corrected popcounts; ties go to the first language by code point.  Every
+    language is learned, from about ``sample_rows`` rows at most.  An empty table gives an empty result.
     """
     filters = learn(docs, id_col, text_col, lang_col, sample_rows)
     src = docs.select(
@@ -165,5 +179,5 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     if filters is None:
         return src.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(filters.state)  # 2^slot_bits masks, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(filters.state)  # 2^slot_bits masks for every 64 languages, whatever the rows
     return src.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")

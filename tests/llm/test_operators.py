@@ -15,7 +15,7 @@ from lexiflow.llm.components import components
 from lexiflow.llm.fingerprints import fingerprint_edits
 from lexiflow.llm.html_blocks import extract_main_text, main_text
 from lexiflow.llm.jaccard_join import intersections, jaccard_join, matched_depth
-from lexiflow.llm.language_id import language_id
+from lexiflow.llm.language_id import language_id, limit
 from lexiflow.llm.line_dedup import line_dedup
 from lexiflow.llm.mixing import mix
 from lexiflow.llm.quality import score_quality
@@ -422,6 +422,20 @@ def test_language_id(spark, docs, empty):
     assert np.mean([a == b for a, b in held]) > 0.98
 
 
+def test_language_id_of_many_and_rare_languages(spark):
+    rng = random.Random(29)
+    letters = [chr(0x4E00 + i) for i in range(130 * 8)]  # 8 letters of its own a language
+    rows = []
+    for i in range(130):
+        for _ in range(3000 if i == 0 else 24):
+            rows.append((len(rows), " ".join("".join(rng.choice(letters[8 * i : 8 * i + 8]) for _ in range(2)) for _ in range(40)), f"l{i:03}"))
+    truth = {r[0]: r[2] for r in rows}
+    out = language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=100).collect()
+    held = [r for r in out if r.held_out]
+    assert len({truth[r.doc_id] for r in held}) > 120 and all(r.lang_pred == truth[r.doc_id] for r in held)
+    assert limit(5, 3) == limit(3, 3) == 2**63 - 1 and limit(20_000, 10**12) > limit(1, 10**12) > -(2**63)
+
+
 def test_html(spark):
     article = "<p>One of the\n  things &amp; more.</p><p>Two<br>three <a href=x>link</a> of the story that was told to all who came and sat by the fire.</p>"
     page = f"<html><head><title>T</title><style>p{{}}</style></head><body><nav><ul><li><a href=a>Menu</a></li></ul></nav><div class='cookie-notice'>We use the cookies of the site</div><article><h1>Head</h1>{article}<section id=comments><p>The first of the comments</p></section><form>Name <input></form><aside>Side</aside></article><footer>&copy; x</footer><script>var a='<p>no</p>'</script>"

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiflow.llm.collocations import mine_collocations
+from lexiflow.llm.decontamination import contamination_digest, find_contamination
 from lexiflow.llm.exact_dedup import exact_dedup
+from lexiflow.llm.filter_audit import audit_filters
 from lexiflow.llm.fingerprints import fingerprint_edits
 from lexiflow.llm.html_blocks import extract_main_text
 from lexiflow.llm.jaccard_join import jaccard_join
@@ -67,10 +70,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_quality_classifier, op3_exact_dedup, op4_line_dedup, op5_html_extraction,
         op6_fingerprints, op7_packing, op8_language_id, op9_mixing, op10_jaccard_join,
+        op11_collocations, op12_filter_audit, op13_decontamination,
     )
 }

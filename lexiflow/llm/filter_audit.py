@@ -17,9 +17,11 @@ out on these counts only.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations, permutations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ SYMBOLS = b"#$%&*|"
 STRETCH = 1 << 20
 #: text of one hot group of copies that one task takes
 SALT_BYTES = 64 << 20
+#: greatest size of the bitmap, as a power of two of bits (32 MB)
+BITMAP_POWER = 28
 
 _CAPITALS = bytes(range(0x41, 0x5B))
 _FOLLOWING = bytes(range(0x80, 0xC0))
@@ -74,39 +78,66 @@ def failure_bits(text: bytes) -> int:
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bits, hashes, sizes = [], [], []
+        bits, hashes, sizes, keys = [], [], [], []
         for value in batch.column("_text").cast(pa.binary()):
             text = value.as_py() or b""
             bits.append(failure_bits(text))
             hashes.append(hashlib.sha256(text).digest())
+            keys.append(_key(hashes[-1]))
             sizes.append(len(text))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("part"), pa.array(bits, pa.int32()), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64())],
-            names=["doc_id", "part", "bits", "hash", "size"],
+            [batch.column("doc_id"), batch.column("part"), pa.array(bits, pa.int32()), pa.array(hashes, pa.binary()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())],
+            names=["doc_id", "part", "bits", "hash", "key", "size"],
         )
 
 
+def _key(digest: bytes) -> int:
+    return int.from_bytes(digest[:7], "little")
+
+
+def _marked(bc):
+    """Rows with an id whose hash is in the bitmap, with text and hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = bc.value
+        last = 64 * len(bitmap) - 1
+        for batch in batches:
+            rows, hashes = [], []
+            for i, value in enumerate(batch.column("text").cast(pa.binary())):
+                digest = hashlib.sha256(value.as_py() or b"").digest()
+                at = _key(digest) & last
+                if int(bitmap[at >> 6]) >> (at & 63) & 1:
+                    rows.append(i)
+                    hashes.append(digest)
+            some = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(hashes, pa.binary())], names=["doc_id", "part", "text", "hash"])
+
+    return run
+
+
 def _rows_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), F.col("text").cast("string").alias("text"))
 
 
 def failing_rows(docs: DataFrame) -> DataFrame:
-    """Written table: doc_id, part, hash, size and the failure bits A to D of every row."""
+    """Written table: doc_id, part, hash (and its first bytes as key), size and the failure bits A to D of every row."""
     source = _rows_of(docs).withColumnRenamed("text", "_text")
-    return materialize(source.mapInArrow(_bits, "doc_id long, part string, bits int, hash binary, size long"), "audit-rows")
+    return materialize(source.mapInArrow(_bits, "doc_id long, part string, bits int, hash binary, key long, size long"), "audit-rows")
 
 
 def identical_to_smaller(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(doc_id, hash, part) of the rows that fail E, distinct.
-
-    ``many`` has one narrow row for each text that repeats; while it is small Spark
-    broadcasts it by its written size and the texts of single rows stay where they are.
-    """
-    many = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).where("n > 1")
-    many = materialize(many.select("hash", F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("size") / SALT_BYTES)).cast("int").alias("salts")), "audit-many")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    texts = _rows_of(docs).where("doc_id is not null").select("doc_id", "part", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("hash"))
-    copies = materialize(texts.join(many, "hash"), "audit-copies")
+    """(doc_id, hash, part) of the rows that fail E, distinct."""
+    many = rows.groupBy("hash", "key").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).where("n > 1")
+    many = materialize(many.select("hash", "key", F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("size") / SALT_BYTES)).cast("int").alias("salts")), "audit-many")
+    power = min(BITMAP_POWER, max(6, math.ceil(math.log2(many.count() * 16 + 1))))
+    at = F.col("key").bitwiseAND(F.lit((1 << power) - 1))
+    marks = many.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((key & {(1 << power) - 1}L) & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (power - 6), np.uint64)
+    bitmap[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
+    bc = docs.sparkSession.sparkContext.broadcast(bitmap)
+    texts = _rows_of(docs).where("doc_id is not null").select("doc_id", "part", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.mapInArrow(_marked(bc), "doc_id long, part string, text string, hash binary")
+    copies = materialize(texts.join(many.drop("key"), "hash"), "audit-copies")
     least = copies.groupBy("hash", "text", "salts").agg(F.min("doc_id").alias("least"))
     s = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("s")
     c = copies.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("c")

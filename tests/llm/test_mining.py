@@ -151,9 +151,10 @@ def audit_corpus():
     return rows, labels
 
 
-@pytest.mark.parametrize("salt_bytes", [64 << 20, 5000])
-def test_audit_equals_brute_force(spark, monkeypatch, salt_bytes):
+@pytest.mark.parametrize(("salt_bytes", "power"), [(64 << 20, 28), (5000, 6)])
+def test_audit_equals_brute_force(spark, monkeypatch, salt_bytes, power):
     monkeypatch.setattr(fa, "SALT_BYTES", salt_bytes)
+    monkeypatch.setattr(fa, "BITMAP_POWER", power)
     rows, labels = audit_corpus()
     got = audit_filters(frame(spark, rows), spark.createDataFrame([(*x, "p") for x in labels], LABELS))
     assert got.columns == ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]

@@ -36,8 +36,8 @@ TOP = 2000
 #: a phrase goes if a longer one has this share of its occurrences, in percent
 SHARE = 50
 #: text of a shard, and of one prefix range
-SHARD_BYTES = 4 << 20
-RANGE_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
+RANGE_BYTES = 4 << 20
 #: ranges that a transducer is cut into at once
 FANOUT = 1024
 #: parts with at least 1 / HEAVY of all words are broadcast

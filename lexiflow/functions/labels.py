@@ -32,6 +32,13 @@ def parse_label(col) -> Column:
     )
 
 
+def strict_label(col, where) -> Column:
+    """Integer of label text; a label that is none raises an error that names ``where`` it stands."""
+    c = _c(col)
+    text = F.concat(F.lit("label "), F.coalesce(c, F.lit("null")), F.lit(" is no integer: "), where)
+    return F.coalesce(parse_label(c), F.raise_error(text).cast("int"))
+
+
 def parse_label_variant(col) -> Column:
     """Same rule on a VARIANT value: numbers and booleans truncate, text uses ``parse_label``."""
     v = _c(col)

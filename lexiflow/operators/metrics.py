@@ -152,19 +152,28 @@ def argmax_prediction(df: DataFrame, scores: str = "scores", out: str = "pred")
     return df.withColumn(out, argmax(F.col(scores)))
 
 
-def weighted_log_loss(df: DataFrame, scores: str = "scores", label: str = "label", weights: DataFrame | None = None) -> DataFrame:
+def weighted_log_loss(
+    df: DataFrame, scores: str = "scores", label: str = "label", weights: DataFrame | None = None, balanced: bool = False, k: int = NUM_LABELS
+) -> DataFrame:
     """Class-weighted cross-entropy, PyTorch 'mean' rule: sum(w_y * nll) / sum(w_y).
-    ``weights`` is a k-row (label, weight) table (size bounded by the class count);
-    without it every weight is 1."""
+
+    The weight of a class factors out of its sums, so the rows are read once, for the loss and
+    the number of each class, and weights are applied to these k rows: the table ``weights``
+    (label, weight), or ``balanced`` ones n / (k * n_c), which need no other read.  Without
+    either every weight is 1."""
     loss = nll(F.col(scores), F.col(label))
-    if weights is None:
-        d = df.withColumn("_w", F.lit(1.0))
+    per = df.groupBy(label).agg(F.sum(loss).alias("_s"), F.count(loss).alias("_m"), F.count(F.lit(1)).alias("_c"))
+    if balanced:
+        total = F.sum("_c").over(Window.partitionBy())  # one row a class
+        per = per.withColumn("_w", total / (F.lit(k) * F.col("_c")))
+    elif weights is not None:
+        per = per.join(F.broadcast(weights.select(label, F.col("weight").alias("_w"))), label, "left")
     else:
-        d = df.join(F.broadcast(weights.select(label, F.col("weight").alias("_w"))), label, "left")
-    return d.agg(
-        _r(F.sum(F.col("_w") * loss) / F.sum("_w")).alias("weighted_log_loss"),
-        _r(F.avg(loss)).alias("log_loss"),
-        F.count(F.lit(1)).alias("n"),
+        per = per.withColumn("_w", F.lit(1.0))
+    return per.agg(
+        _r(F.sum(F.col("_w") * F.col("_s")) / F.sum(F.col("_w") * F.col("_c"))).alias("weighted_log_loss"),
+        _r(F.sum("_s") / F.sum("_m")).alias("log_loss"),
+        F.coalesce(F.sum("_c"), F.lit(0)).alias("n"),
     )
 
 

@@ -18,11 +18,14 @@ that table if a cached block is lost).
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +88,31 @@ def predict(model: PipelineModel, df: DataFrame, out: str = "pred") -> DataFrame
     return model.transform(df).select(*keep, F.col("prediction").cast("int").alias(out))
 
 
+def loss_gradient(fitted: LogisticRegressionModel, rows: DataFrame, label: str = "label", weight: str = "class_weight", features: str = "_features") -> np.ndarray:
+    """Gradient of the regularised, weighted training loss at the fitted coefficients: a row a class, the intercept last.
+
+    One distributed aggregate of weighted vector sums over the training rows; near 0 if the
+    fit has found the optimum.  The penalty is on coefficients of standardised features, as
+    the estimator applies it; the intercept has none.
+    """
+    k, reg = fitted.numClasses, fitted.getRegParam()
+    d = fitted.transform(rows).withColumn("_p", vector_to_array("probability"))
+    sums = []
+    for c in range(k):
+        for w in (F.col(weight) * F.col("_p")[c], F.when(F.col(label) == c, F.col(weight)).otherwise(0.0)):
+            sums += [Summarizer.metrics("sum").summary(F.col(features), w)["sum"], F.sum(w)]
+    std = Summarizer.metrics("std").summary(F.col(features), F.col(weight))["std"]
+    row = d.agg(F.sum(weight), std, *sums).first()
+    total, sd, parts = row[0], row[1].toArray(), row[2:]
+    beta = fitted.coefficientMatrix.toArray()
+    out = np.zeros((k, fitted.numFeatures + 1))
+    for c in range(k):
+        px, p, yx, y = parts[4 * c : 4 * c + 4]
+        out[c, :-1] = (px.toArray() - yx.toArray()) / total + reg * sd * sd * beta[c]
+        out[c, -1] = (p - y) / total
+    return out
+
+
 def param_counts(model: PipelineModel) -> tuple[int, int]:
     """(all, fitted) parameters of the classifier: coefficients of features that no training text has stay 0."""
     lr, idf = model.stages[-1], model.stages[-2]
@@ -141,13 +169,15 @@ def train_compare(
     max_length: int | None = None,
     max_iter: int = 30,
     model_dir: str | None = None,
+    on_test: Callable[[str, DataFrame], None] | None = None,
 ) -> DataFrame:
     """One run record per config: the ``reg_param`` with the best validation
     macro-F1 (the reference keeps the best epoch by the same score), then test
     scores, sizes and fit time.  Texts are cut to ``max_length`` tokens before
     they become features.  Features are fitted once per config and cached; only
     the classifier is refitted per candidate.  Each model is written to
-    ``model_dir/run_tag`` (a scratch folder if unset) and measured there."""
+    ``model_dir/run_tag`` (a scratch folder if unset) and measured there.
+    ``on_test`` gets each run's tag and its test predictions (uid, label, pred), written once."""
     spark = splits.sparkSession
     s = split_table(splits, domain_filter)
     sizes = {r["split"]: r["n"] for r in s.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -171,7 +201,10 @@ def train_compare(
         train_f.unpersist()
         valid_f.unpersist()
         _, rp, lr = best
-        pred = lr.transform(feats.transform(test)).select("label", F.col("prediction").cast("int").alias("pred"))
+        pred = lr.transform(feats.transform(test)).select("uid", "label", F.col("prediction").cast("int").alias("pred"))
+        pred = materialize(pred, "test-predictions")
+        if on_test is not None:
+            on_test(cfg["run_tag"], pred)
         acc, f1, _ = _scores(pred)
         fitted = PipelineModel(stages=[*feats.stages, lr])
         total, trainable = param_counts(fitted)
@@ -189,6 +222,7 @@ def train_compare(
                 max_length=max_length,
                 num_features=cfg["num_features"],
                 reg_param=rp,
+                num_epochs=int(lr.summary.totalIterations) if lr.hasSummary else None,
                 total_params=total,
                 trainable_params=trainable,
                 trainable_ratio_pct=trainable * 100.0 / total,

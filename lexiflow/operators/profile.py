@@ -234,15 +234,29 @@ def top_values(df: DataFrame, col: str, n: int = 20) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.asc(col))))
 
 
+def distributed_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """``df`` with its row number in ``order`` (1 first), for any number of rows.
+
+    Rows are dealt to ranges of the order and written with the number of their range; a row's
+    rank is its place in the range plus the rows of the ranges before, so no task sorts or
+    numbers more than one range.  ``order`` must not leave ties.
+    """
+    ranges = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranked")
+    sizes = sorted(tuple(r) for r in ranges.groupBy("_range").agg(F.count(F.lit(1))).collect())  # a row a range
+    offsets, total = [], 0
+    for r, n in sizes:
+        offsets.append((r, total))
+        total += n
+    before = F.broadcast(df.sparkSession.createDataFrame(offsets, "_range int, _before long"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_place", place).join(before, "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
 def groups_by_median(df: DataFrame, by: str, col: str) -> DataFrame:
-    """Groups ordered by median descending (ties by key), with rank.  The window
-    runs over one row per group, never over the rows themselves."""
+    """Groups ordered by median descending (ties by key), with rank, for any number of groups."""
     m = df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.percentile(F.col(col), 0.5).alias("median"))
-    return m.select(
-        F.row_number().over(Window.orderBy(F.desc("median"), F.asc(by))).alias("rank"),
-        by,
-        r6(F.col("median")).alias("median"),
-    )
+    ranked = distributed_rank(m, [F.desc("median"), F.asc(by)])
+    return ranked.select("rank", by, r6(F.col("median")).alias("median"))
 
 
 def distinct_groups(df: DataFrame, cols: Sequence[str]) -> DataFrame:

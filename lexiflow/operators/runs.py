@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,10 @@ RUN_SCHEMA = T.StructType(
         T.StructField("max_length", T.IntegerType()),
         T.StructField("num_features", T.IntegerType()),
         T.StructField("reg_param", T.DoubleType()),
+        # epochs or iterations; the last two are of trainers that work in batches
+        T.StructField("num_epochs", T.IntegerType()),
+        T.StructField("batch_size", T.IntegerType()),
+        T.StructField("learning_rate", T.DoubleType()),
         T.StructField("total_params", T.LongType()),
         T.StructField("trainable_params", T.LongType()),
         T.StructField("trainable_ratio_pct", T.DoubleType()),
@@ -66,6 +70,28 @@ def resolve_tag(runs: DataFrame, name: str, tag: str = "run_tag") -> str:
     return name if row["own"] else row["latest"]
 
 
+def half_even(col: Column, digits: int) -> Column:
+    """Rounding to even on ties, as numbers are shown in reports (operators round half up, to 6 digits)."""
+    return F.bround(col, digits)
+
+
+def minutes(seconds: Column) -> Column:
+    return seconds / 60.0
+
+
+def present(comparison: DataFrame) -> DataFrame:
+    """``compare_runs`` as it is shown: times in minutes (metric ``train_time_min``), ratios with 4 digits, ties to even."""
+    time = F.col("metric") == "train_time_sec"
+
+    def shown(c: str) -> Column:
+        return half_even(F.when(time, minutes(F.col(c))).otherwise(F.col(c)), 4).alias(c)
+
+    return comparison.select(
+        F.when(time, "train_time_min").otherwise(F.col("metric")).alias("metric"), *[shown(c) for c in ("run_a", "run_b", "diff")],
+        *[half_even(F.col(c), 4).alias(c) for c in ("ratio", "pct_reduction", "factor")],
+    )
+
+
 def compare_runs(runs: DataFrame, a: str, b: str, metrics: Sequence[str] = COMPARE_METRICS, tag: str = "run_tag") -> DataFrame:
     """metric, run_a, run_b, diff (b - a), ratio (b / a), pct_reduction ((1 - b/a) * 100), factor (a / b).
 

@@ -9,7 +9,7 @@ vocabulary whose size is bounded by its parameters, run in Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.functions.arrays import attention_mask, pad_tokens, truncate_tokens
 from lexiflow.functions.text import N_SPECIAL, TOKEN_PATTERN, UNK_TOKEN, token_count, tokens
+from lexiflow.sources.tables import materialize
 
 # Candidate maximum lengths of the truncation table.
 CANDIDATE_MAX_LENGTHS = (64, 96, 128, 192, 256, 320, 384)
@@ -39,6 +40,32 @@ def truncation_overall(df: DataFrame, candidates: Sequence[int] = CANDIDATE_MAX_
     return wide.select(stacked.alias("s")).select("s.max_length", "s.truncated_pct")
 
 
+#: lengths of one bucket of the truncation curve
+_BUCKET = 4096
+
+
+def truncation_curve(df: DataFrame, thresholds: DataFrame, col: str = "token_len") -> DataFrame:
+    """(max_length, n_over, truncated_pct) for every row of a table of integer thresholds (column ``max_length``).
+
+    Any number of thresholds costs one scan: lengths are counted per value, thresholds are laid
+    among the values, and the rows over a threshold are a running sum from the longest value
+    down.  Values are summed in buckets of lengths, and buckets, of which there are at most
+    2^31 / 4096, on top.  Null thresholds are left out, repeated ones count once.
+    """
+    lengths = materialize(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("long").alias("_v")).agg(F.count(F.lit(1)).alias("_c")), "length-counts")
+    asked = thresholds.select(F.col("max_length").cast("long").alias("_v")).dropna().distinct()
+    rows = lengths.select("_v", "_c", F.lit(1).alias("_kind")).unionByName(asked.select("_v", F.lit(0).cast("long").alias("_c"), F.lit(0).alias("_kind")))
+    rows = rows.withColumn("_bucket", F.floor(F.col("_v") / _BUCKET))
+    here = Window.partitionBy("_bucket").orderBy(F.desc("_v"), F.asc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("_over", F.sum("_c").over(here)).where("_kind = 0")
+    buckets = rows.groupBy("_bucket").agg(F.sum("_c").alias("_c"))
+    above = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    higher = buckets.select("_bucket", F.coalesce(F.sum("_c").over(above), F.lit(0)).alias("_higher"))
+    n = lengths.agg(F.sum("_c")).scalar()
+    over = F.col("_over") + F.col("_higher")
+    return inside.join(higher, "_bucket").select(F.col("_v").cast("int").alias("max_length"), over.alias("n_over"), F.round(over * 100.0 / n, 6).alias("truncated_pct"))
+
+
 def truncation_by(df: DataFrame, by: str, candidates: Sequence[int] = CANDIDATE_MAX_LENGTHS, col: str = "token_len") -> DataFrame:
     """Per group (null group dropped): count and ``trunc_<ml>`` percentages."""
     c = F.col(col)
@@ -119,6 +146,39 @@ def wordpiece_vocab(df: DataFrame, n_words: int = 8000, n_chars: int = 2000, tex
     return words.unionByName(pieces).distinct()
 
 
+def subword_ids(df: DataFrame, tokenizer_path: str, max_len: int | None = None, text: str = "text", ids: str = "input_ids", length: str = "subword_len") -> DataFrame:
+    """Ids of a published subword tokenizer, and how many there are before they are cut to ``max_len``.
+
+    ``tokenizer_path`` is a file of the ``tokenizers`` library that the driver can read; its
+    content (bounded by ``MAX_TOKENIZER_BYTES``) goes to the tasks, which need the library but not
+    the file.  Batches are Arrow batches of texts; null texts have null ids.  Tokenizers are
+    used as published, with their own special tokens left out, and never trained.
+    """
+    with open(tokenizer_path, encoding="utf-8") as f:
+        body = f.read(MAX_TOKENIZER_BYTES + 1)
+    if len(body) > MAX_TOKENIZER_BYTES:
+        raise ValueError(f"{tokenizer_path} has more than {MAX_TOKENIZER_BYTES} characters")
+    bc = df.sparkSession.sparkContext.broadcast(body)
+
+    @F.pandas_udf("struct<ids:array<int>,n:int>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_str(bc.value)
+        tok.no_truncation()
+        tok.no_padding()
+        tok.encode_special_tokens = True
+        for texts in batches:
+            found = iter(tok.encode_batch_fast([t for t in texts if t is not None], add_special_tokens=False))
+            all_ids = [next(found).ids if t is not None else None for t in texts]
+            yield pd.DataFrame({"ids": [i if i is None else i[:max_len] for i in all_ids], "n": pd.array([None if i is None else len(i) for i in all_ids], dtype="Int32")})
+
+    return df.withColumn("_e", encode(F.col(text))).withColumns({ids: F.col("_e.ids"), length: F.col("_e.n")}).drop("_e")
+
+
+#: greatest size of a tokenizer file that goes to the tasks
+MAX_TOKENIZER_BYTES = 64 << 20
+
 #: pieces of a vocabulary that tasks hold in memory; more raise an error
 MAX_PIECES = 1_000_000
 

@@ -80,7 +80,7 @@ cte(
   case when pos % 97 = 0 then '   '
        when pos % 101 = 0 then null
        when pos % 5 = 0 then '  ' || raw_text || chr(12288) || chr(10) || ' '
-       when pos % 13 = 0 then raw_text || chr(28) || ' ' || chr(128512) || ' ' || 'x'
+       when pos % 13 = 0 then raw_text || chr(28) || chr(160) || chr(128512) || chr(8233) || 'x'
        else raw_text end as raw_text,
   source,
   case when pos % 89 = 0 then null else domain end as domain,
@@ -272,6 +272,13 @@ oracle(
 from (select main_category, quantile_cont(text_len, 0.5) as median from lens where main_category is not null group by main_category)""",
 )
 
+oracle(
+    "domains_by_median",
+    ["lens"],
+    """select cast(row_number() over (order by median desc, domain) as integer) as rank, domain, round(median, 6) as median
+from (select domain, quantile_cont(text_len, 0.5) as median from lens where domain is not null group by domain)""",
+)
+
 # ---- stage-2 steps over reviews_dirty -------------------------------------
 oracle("text_len", ["reviews_dirty"], f"select pos, cast(length(raw_text) as integer) as text_len, cast(length({clean_sql('raw_text')}) as integer) as clean_len from reviews_dirty")
 oracle(
@@ -432,6 +439,23 @@ oracle(
         for ml in _CANDS
     ),
 )
+oracle(
+    "truncation_curve",
+    ["tok"],
+    """select cast(t as integer) as max_length, cast(coalesce(sum(c) filter (v > t), 0) as bigint) as n_over,
+  round(coalesce(sum(c) filter (v > t), 0) * 100.0 / sum(c), 6) as truncated_pct
+from range(0, 4096) r(t), (select token_len as v, count(*) as c from tok group by token_len) group by t""",
+)
+cte("train_tok", ["splits"], f"select uid, domain, cast({token_count_sql('text')} as integer) as token_len from splits where split = 'train'")
+cte("train_both", ["train_tok"], "select * from train_tok union all select uid, '(all)', token_len from train_tok")
+oracle("train_token_stats", ["train_both"], _group_stats("train_both", "domain", "token_len", [(0.9, "p90"), (0.95, "p95"), (0.99, "p99")]))
+oracle(
+    "train_truncation",
+    ["train_both"],
+    "select domain, count(*) as count, "
+    + ", ".join(f"round(count(*) filter (where token_len > {ml}) * 100.0 / count(*), 6) as trunc_{ml}" for ml in _CANDS)
+    + " from train_both where domain is not null group by domain",
+)
 oracle(
     "truncation_by_domain",
     ["tok"],
@@ -451,6 +475,7 @@ from (select c.ml, (select count(*) from tok) as n, (select count(*) from tok wh
     + ", ".join(str(x) for x in _REC)
     + """]) as ml) c)""",
 )
+ORACLES["train_recommend_max_length"] = with_ctes(ORACLES["recommend_max_length"][ORACLES["recommend_max_length"].index("select cast(coalesce(min(ml)") :].replace("from tok", "from train_tok"), ["train_tok"])
 oracle(
     "truncate_tokens",
     ["prepared"],
@@ -601,6 +626,16 @@ oracle(
   cast(case when kind_no = 2 then 1 else 0 end as bigint) as n_skipped
 from payload_kind group by file_path, kind_no""",
 )
+# documents whose closing bracket is missing give one row without an element, the scalar of the others' lists is one
+oracle(
+    "ingest_ranged_rows",
+    ["payload_kind"],
+    """select file_path, case kind_no when 1 then 'object' else 'array' end as kind,
+  cast(row_number() over (partition by file_path order by pos) - 1 as integer) as _pos, true as _is_object, review_index, raw_text
+from payload_kind where kind_no <> 3
+union all select file_path, 'array', cast(count(*) as integer), false, null, null from payload_kind where kind_no = 2 group by file_path
+union all select distinct file_path, 'corrupt', cast(null as integer), false, null, null from payload_kind where kind_no = 3""",
+)
 oracle(
     "ingest_provenance",
     ["payload_kind"],
@@ -621,3 +656,33 @@ oracle(
   case when top_folder = 'sns' then main_category end as main_category, top_folder, pos
 from reviews where top_folder in ('shop', 'sns')""",
 )
+
+# ---- tables written, read back and measured --------------------------------
+oracle("csv_roundtrip", ["reviews_dirty"], "select pos, review_index, raw_text, domain, polarity from reviews_dirty")
+oracle(
+    "csv_quarantine",
+    ["reviews"],
+    """select case when bad then null else pos end as pos, case when bad then null else domain end as domain,
+  case when bad then null else main_category end as main_category,
+  case when pos % 7 = 0 then pos || ',' || domain
+       when pos % 11 = 0 then pos || ',' || domain || ',' || main_category || ',more'
+       when pos % 13 = 0 then 'no' || pos || ',' || domain || ',' || main_category end as record
+from (select *, pos % 7 = 0 or pos % 11 = 0 or pos % 13 = 0 as bad from reviews)""",
+)
+oracle("label_map_roundtrip", ["prepared"], f"select label, {NAME_SQL.format(x='label')} as label_name, count(*) as n from prepared group by label")
+oracle(
+    "dir_size",
+    ["reviews_dirty"],
+    f"""select cast(sum(strlen({clean_sql('raw_text')}) + 1) as bigint) as n_bytes,
+  round(sum(strlen({clean_sql('raw_text')}) + 1) / 1048576.0, 6) as size_mb from reviews_dirty""",
+)
+
+# ---- training: the test split, its sizes and the parameters of the two feature spaces
+oracle("train_predict", ["splits"], "select uid, label, true as predicted from splits where split = 'test'")
+oracle(
+    "train_compare",
+    ["splits"],
+    """select run_tag, count(*) filter (split = 'train') as n_train, count(*) filter (split = 'valid') as n_valid, count(*) filter (split = 'test') as n_test,
+  cast(3 * features + 3 as bigint) as total_params, true as scored
+from splits, (values ('wide', 16384), ('compact', 1024)) v(run_tag, features) group by run_tag, features""",
+)

@@ -16,7 +16,7 @@ from lexiflow.functions.labels import label_name
 from lexiflow.functions.text import clean_text, text_len
 from lexiflow.operators import metrics, model, prep, profile, runs, split, tokens
 from lexiflow.plans import fixtures as fx
-from lexiflow.sources import json_ingest, tables
+from lexiflow.sources import json_ingest, json_ranges, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +30,12 @@ def query(key: str):
     return deco
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _lab(spark, sf):
     return prep.with_label_int(fx.reviews(spark, sf))
 
@@ -120,6 +126,11 @@ def q_top_categories(spark, sf):
     return profile.top_values(fx.reviews(spark, sf), "main_category", 20).withColumn("rank", F.col("rank").cast("int"))
 
 
+@query("domains_by_median")
+def q_domains_by_median(spark, sf):
+    return profile.groups_by_median(_lens(spark, sf), "domain", "text_len").withColumn("rank", F.col("rank").cast("int"))
+
+
 @query("groups_by_median")
 def q_groups_by_median(spark, sf):
     return profile.groups_by_median(_lens(spark, sf), "main_category", "text_len").withColumn("rank", F.col("rank").cast("int"))
@@ -309,6 +320,36 @@ def q_truncation_overall(spark, sf):
     return tokens.truncation_overall(_tok(spark, sf))
 
 
+@query("truncation_curve")
+def q_truncation_curve(spark, sf):
+    return tokens.truncation_curve(_tok(spark, sf), spark.range(4096).select(F.col("id").alias("max_length")))
+
+
+# what the reference's token stage reads: the train split
+def _train_tok(spark, sf):
+    train = _text_splits(spark, sf).filter(F.col("split") == "train")
+    return tables.materialize(tokens.with_token_len(train).select("uid", "domain", "token_len"), "train-tokens")
+
+
+@query("train_token_stats")
+def q_train_token_stats(spark, sf):
+    t = _train_tok(spark, sf)
+    whole = profile.group_stats(t.withColumn("domain", F.lit("(all)")), "domain", "token_len", qs=(0.9, 0.95, 0.99))
+    return whole.unionByName(profile.group_stats(t, "domain", "token_len", qs=(0.9, 0.95, 0.99)))
+
+
+@query("train_truncation")
+def q_train_truncation(spark, sf):
+    t = _train_tok(spark, sf)
+    whole = tokens.truncation_by(t.withColumn("domain", F.lit("(all)")), "domain")
+    return whole.unionByName(tokens.truncation_by(t, "domain"))
+
+
+@query("train_recommend_max_length")
+def q_train_recommend_max_length(spark, sf):
+    return tokens.recommend_max_length(_train_tok(spark, sf), RECOMMEND_CANDIDATES)
+
+
 @query("truncation_by_domain")
 def q_truncation_by_domain(spark, sf):
     return tokens.truncation_by(_tok(spark, sf), "domain")
@@ -346,6 +387,11 @@ def q_wordpiece_len(spark, sf):
     return tokens.wordpiece_len(p, vocab).select("uid", "wp_len")
 
 
+@query("subword_len")
+def q_subword_len(spark, sf):
+    return tokens.subword_ids(_prepared(spark, sf), tokenizer_path(), tokens.MAX_LENGTH).select("uid", "subword_len", F.size("input_ids").alias("kept_len"))
+
+
 # ---- metrics over fixture predictions ------------------------------------
 @query("accuracy")
 def q_accuracy(spark, sf):
@@ -376,7 +422,7 @@ def q_argmax_prediction(spark, sf):
 @query("weighted_log_loss")
 def q_weighted_log_loss(spark, sf):
     p = fx.predictions(spark, sf).withColumn("scores", F.array("s0", "s1", "s2"))
-    return metrics.weighted_log_loss(p, "scores", "label", metrics.class_weights(p))
+    return metrics.weighted_log_loss(p, "scores", "label", balanced=True)
 
 
 @query("select_best")
@@ -427,6 +473,20 @@ def q_ingest_payload_status(spark, sf):
     return json_ingest.with_provenance(st, PAYLOAD_ROOT).select("file_path", "kind", "n_rows", "n_skipped")
 
 
+@query("ingest_ranged_rows")
+def q_ingest_ranged_rows(spark, sf):
+    """The payload documents as files, read in ranges of 64 KB."""
+    raw = fx.payloads(spark, sf, PAYLOAD_ROOT)
+    out = tables.scratch_path(spark, "lexiflow-payloads")
+    raw.select(F.hex(F.encode("path", "UTF-8")).alias("file"), "payload").write.partitionBy("file").text(out)
+    tables.delete_on_exit(spark, out)
+    rows = json_ranges.explode_ranges(spark, out, range_bytes=1 << 16, pattern="*.txt")
+    named = rows.withColumn("path", F.decode(F.unhex(F.regexp_extract("path", "/file=([0-9A-F]+)/", 1)), "UTF-8"))
+    d = json_ingest.with_provenance(named, PAYLOAD_ROOT)
+    texts = [F.try_variant_get("_row", f"$.{c}", "string") for c in ("Index", "RawText")]
+    return d.select("file_path", F.col("_kind").alias("kind"), "_pos", "_is_object", texts[0].alias("review_index"), texts[1].alias("raw_text"))
+
+
 @query("ingest_provenance")
 def q_ingest_provenance(spark, sf):
     return _exploded(spark, sf).groupBy("file_path", "top_folder").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -445,12 +505,60 @@ def q_union_by_name_sources(spark, sf):
     return shop.unionByName(sns, allowMissingColumns=True)
 
 
-# ---- training (pyspark.ml), rows-only checks ------------------------------
+# ---- tables written, read back and measured --------------------------------
+CSV_SCHEMA = "pos bigint, review_index string, raw_text string, domain string, polarity string"
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, sf):
+    out = tables.scratch_path(spark, "lexiflow-csv")
+    tables.write_table(fx.reviews_dirty(spark, sf).select("pos", "review_index", "raw_text", "domain", "polarity"), out, fmt="csv", bom=True)
+    tables.delete_on_exit(spark, out)
+    return tables.read_table(spark, out, "csv", CSV_SCHEMA)
+
+
+@query("csv_quarantine")
+def q_csv_quarantine(spark, sf):
+    """CSV lines of which some have a field too few, one too many or no number where one belongs."""
+    out = tables.scratch_path(spark, "lexiflow-csv")
+    r, pos = fx.reviews(spark, sf), F.col("pos")
+    line = F.when(pos % 7 == 0, F.concat_ws(",", pos, "domain")).when(pos % 11 == 0, F.concat_ws(",", pos, "domain", "main_category", F.lit("more")))
+    line = line.when(pos % 13 == 0, F.concat_ws(",", F.concat(F.lit("no"), pos), "domain", "main_category")).otherwise(F.concat_ws(",", pos, "domain", "main_category"))
+    r.select(line.alias("pos,domain,main_category")).write.option("header", True).option("quote", "\u0000").option("sep", "\u0001").csv(out)
+    tables.delete_on_exit(spark, out)
+    good, bad = tables.read_csv_checked(spark, out, "pos bigint, domain string, main_category string")
+    return good.select("pos", "domain", "main_category", F.lit(None).cast("string").alias("record")).unionByName(bad.select("record"), allowMissingColumns=True)
+
+
+@query("label_map_roundtrip")
+def q_label_map_roundtrip(spark, sf):
+    """Rows of each label of the prepared table, named by a label map that was written and read back."""
+    out = tables.scratch_path(spark, "lexiflow-label-map")
+    tables.write_record(tables.label_map_record(spark), out)
+    tables.delete_on_exit(spark, out)
+    counts = _prepared(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(tables.read_label_map(spark, out)), "label").select("label", "label_name", "n")  # a row a class
+
+
+@query("dir_size")
+def q_dir_size(spark, sf):
+    """Bytes of the cleaned texts, written a line each into folders by domain."""
+    out = tables.scratch_path(spark, "lexiflow-texts")
+    d = prep.with_clean_text(fx.reviews_dirty(spark, sf)).select(F.coalesce("domain", F.lit("none")).alias("domain"), "text")
+    d.write.partitionBy("domain").text(out)
+    tables.delete_on_exit(spark, out)
+    return tables.dir_size_mb(spark, out).select("n_bytes", F.round("size_mb", 6).alias("size_mb"))
+
+
+# ---- training (pyspark.ml): what SQL can check of it ------------------------
 @query("train_predict")
 def q_train_predict(spark, sf):
-    return model.train_predict(_text_splits(spark, sf), max_length=tokens.MAX_LENGTH)
+    p = model.train_predict(_text_splits(spark, sf), max_length=tokens.MAX_LENGTH)
+    return p.select("uid", "label", F.col("pred").between(0, 2).alias("predicted"))
 
 
 @query("train_compare")
 def q_train_compare(spark, sf):
-    return model.train_compare(_text_splits(spark, sf), max_length=tokens.MAX_LENGTH)
+    recs = model.train_compare(_text_splits(spark, sf), max_length=tokens.MAX_LENGTH)
+    scored = F.col("test_accuracy").between(0, 1) & F.col("test_f1_macro").between(0, 1) & (F.col("trainable_params") <= F.col("total_params")) & (F.col("model_size_mb") > 0)
+    return recs.select("run_tag", "n_train", "n_valid", "n_test", "total_params", scored.alias("scored"))

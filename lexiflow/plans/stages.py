@@ -1,7 +1,7 @@
 """The reference's seven stages as Spark jobs that read and write tables.
 
     python -m lexiflow.plans.stages profile  --root DIR --out OUT
-    python -m lexiflow.plans.stages prepare  --out OUT
+    python -m lexiflow.plans.stages prepare  --out OUT [--strict]
     python -m lexiflow.plans.stages lengths  --out OUT
     python -m lexiflow.plans.stages tokens   --out OUT [--candidates 64,96,...]
     python -m lexiflow.plans.stages train    --out OUT [--domains a,b]
@@ -27,7 +27,8 @@ from lexiflow.operators import metrics, model, prep, profile, runs, split, token
 from lexiflow.sources import json_ingest, tables
 
 
-UNBOUNDED = ("quarantine",)
+#: reports that grow with the corpus: a row a category or label text, or a file
+UNBOUNDED = ("quarantine", "invalid_label_values", "unmapped_labels", "box_by_category", "length_stats_by_category", "categories_by_median")
 
 
 def _write_reports(out: str, reports: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -41,10 +42,11 @@ def stage_profile(spark: SparkSession, roots: Sequence[str], out: str) -> dict[s
     """Stage 1: ingest every JSON file under the roots, write ``combined``, profile it."""
     # parse every document once: elements and empty documents in one written table
     ex = None
-    for root in roots:
-        part = json_ingest.with_provenance(json_ingest.explode_all(json_ingest.read_raw(spark, root)), root)
-        ex = part if ex is None else ex.unionByName(part)
-    ex = tables.materialize(ex, "ingest")
+    with json_ingest.last_of_repeated_keys(spark):
+        for root in roots:
+            part = json_ingest.with_provenance(json_ingest.explode_root(spark, root), root)
+            ex = part if ex is None else ex.unionByName(part)
+        ex = tables.materialize(ex, "ingest")
     status = json_ingest.status_from_exploded(ex, "file_path").withColumn(
         "top_folder", F.substring_index("file_path", "/", 1)
     )
@@ -67,22 +69,25 @@ def stage_profile(spark: SparkSession, roots: Sequence[str], out: str) -> dict[s
         "length_describe": profile.describe(c, "text_len"),
         "length_quantiles": profile.quantiles(c, "text_len"),
         "duplicates": profile.duplicate_counts(
-            c, {"n_dup_text": F.struct("raw_text"), "n_dup_index": F.struct("review_index")}
+            c, {"n_dup_text": profile.text_key("raw_text"), "n_dup_index": F.struct("review_index")}
         ),
     }
     return _write_reports(out, reports)
 
 
-def stage_prepare(spark: SparkSession, out: str, ratios=(8, 1, 1), seed: int = 42) -> dict[str, DataFrame]:
-    """Stage 2: clean, de-duplicate, remap, split; write ``splits`` (partitioned) and the label map."""
+def stage_prepare(spark: SparkSession, out: str, ratios=(8, 1, 1), seed: int = 42, strict: bool = False) -> dict[str, DataFrame]:
+    """Stage 2: clean, de-duplicate, remap, split; write ``splits`` (partitioned) and the label map.
+
+    ``strict`` stops at the first label that is no integer or has no class, instead of listing them."""
     c = spark.read.parquet(f"{out}/combined")
-    prepared = tables.materialize(prep.prepare(c), "prepared")
+    funnel = prep.ObservedFunnel(c, strict=strict)
+    prepared = tables.materialize(funnel.rows, "prepared")
     s = split.stratified_split(split.stratify_key(prepared), ratios=ratios, seed=seed)
     tables.write_table(s, f"{out}/splits", partition_by="split")
     tables.write_record(tables.label_map_record(spark), f"{out}/label_map")
     s = spark.read.parquet(f"{out}/splits")
     reports = {
-        "prep_funnel": prep.prep_funnel(c),
+        "prep_funnel": funnel.counts(),
         "unmapped_labels": prep.unmapped_rows(c).groupBy("polarity").agg(F.count(F.lit(1)).alias("n")),
         "split_sizes": split.split_sizes(s),
         "split_label_share": split.split_label_share(s),
@@ -98,6 +103,7 @@ def stage_lengths(spark: SparkSession, out: str) -> dict[str, DataFrame]:
         "box_by_domain": profile.box_stats(c, "domain", "text_len"),
         "box_by_category": profile.box_stats(c, "main_category", "text_len"),
         "box_by_source": profile.box_stats(c, "source", "text_len"),
+        "domains_by_median": profile.groups_by_median(c, "domain", "text_len"),
         "histogram_by_domain": profile.histogram(c, "domain", "text_len"),
         "length_stats_by_domain": profile.group_stats(c, "domain", "text_len"),
         "length_stats_by_category": profile.group_stats(c, "main_category", "text_len"),
@@ -123,14 +129,20 @@ def stage_tokens(spark: SparkSession, out: str, candidates: Sequence[int] = toke
 
 
 def stage_train(spark: SparkSession, out: str, domains=None, max_length: int = tokens.MAX_LENGTH) -> DataFrame:
-    """Stages 5-6: two runs differing in one factor; run records appended under ``OUT/runs``.
+    """Stages 5-6: two runs differing in one factor; run records appended under ``OUT/runs``,
+    scores, class report and confusion matrix of the test split under ``OUT/reports/test/<tag>``.
 
     A tag names the run: configuration, domains, maximum length and start time."""
     s = spark.read.parquet(f"{out}/splits")
     started = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
     what = "-".join(["+".join(domains) if domains else "all", str(max_length), started])
     configs = [{**c, "run_tag": f"{c['run_tag']}-{what}"} for c in model.RUN_CONFIGS]
-    recs = model.train_compare(s, configs, domain_filter=domains, max_length=max_length, model_dir=f"{out}/models")
+
+    def report(tag: str, predictions: DataFrame) -> None:
+        for name, df in evaluate(spark, predictions).items():
+            tables.write_record(df.drop("run").coalesce(1), f"{out}/reports/test/{tag}/{name}")  # k rows
+
+    recs = model.train_compare(s, configs, domain_filter=domains, max_length=max_length, model_dir=f"{out}/models", on_test=report)
     tables.write_record(recs, f"{out}/runs", mode="append")
     return recs
 
@@ -141,7 +153,7 @@ def stage_compare(spark: SparkSession, out: str, a: str, b: str) -> DataFrame:
     recs = spark.read.schema(runs.RUN_SCHEMA).json(f"{out}/runs")
     a, b = runs.resolve_tag(recs, a), runs.resolve_tag(recs, b)
     cmp = runs.compare_runs(recs, a, b)
-    tables.write_table(cmp.coalesce(1), f"{out}/comparison", fmt="csv", bom=True)
+    tables.write_table(runs.present(cmp).coalesce(1), f"{out}/comparison", fmt="csv", bom=True)
     return cmp
 
 
@@ -157,13 +169,13 @@ def evaluate(spark: SparkSession, predictions: DataFrame) -> dict[str, DataFrame
 
 
 def main(argv: Sequence[str] | None = None) -> None:
-    
     ap = argparse.ArgumentParser(prog="lexiflow.plans.stages")
     ap.add_argument("stage", choices=["profile", "prepare", "lengths", "tokens", "train", "compare"])
     ap.add_argument("--root", action="append", default=[])
     ap.add_argument("--out", required=True)
     ap.add_argument("--candidates", default="")
     ap.add_argument("--domains", default="")
+    ap.add_argument("--strict", action="store_true")
     ap.add_argument("--a", default="wide")
     ap.add_argument("--b", default="compact")
     args = ap.parse_args(argv)
@@ -172,7 +184,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     if args.stage == "profile":
         stage_profile(spark, args.root, args.out)
     elif args.stage == "prepare":
-        stage_prepare(spark, args.out)
+        stage_prepare(spark, args.out, strict=args.strict)
     elif args.stage == "lengths":
         stage_lengths(spark, args.out)
     elif args.stage == "tokens":

@@ -27,6 +27,7 @@ def get_spark(app: str = "lexiflow", cores: int | str = "*", shuffle_partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")  # of a repeated JSON key the last value counts
         .config("spark.driver.memory", os.environ.get("LEXIFLOW_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )

@@ -42,6 +42,25 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
     raise ValueError(f"unknown format {fmt!r}")
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of a CSV file or folder with a header.
+
+    The header must name the columns of ``schema`` in order, or the read fails.  A record with
+    too few or too many fields, or a value that its column's type can't hold, is malformed:
+    it is listed whole, as text, in ``quarantine`` (file, record) instead of becoming nulls.
+    Records are parsed once, into a written table, because a reader that leaves out columns
+    would not see what is wrong with them.
+    """
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    bad = "_malformed"
+    whole = T.StructType([*fields.fields, T.StructField(bad, T.StringType())])
+    r = spark.read.schema(whole).option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
+    r = r.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).option("enforceSchema", False)
+    parsed = materialize(r.csv(path).select("*", F.col("_metadata.file_path").alias("_file")), "csv-parsed")
+    good = parsed.where(F.col(bad).isNull()).select(*fields.names)
+    return good, parsed.where(F.col(bad).isNotNull()).select(F.col("_file").alias("file"), F.col(bad).alias("record"))
+
+
 def write_table(
     df: DataFrame,
     path: str,
@@ -60,7 +79,8 @@ def write_table(
     if fmt == "parquet":
         w.parquet(path)
     elif fmt == "csv":
-        w.option("header", True).option("escape", '"').option("quoteAll", False).csv(path)
+        w = w.option("header", True).option("escape", '"').option("quoteAll", False)
+        w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     elif fmt == "json":
         w.json(path)
     else:

@@ -4,7 +4,7 @@ import duckdb
 
 import __spark_entry__ as entry_mod
 
-ROWS_ONLY = {"train_predict", "train_compare"}
+ROWS_ONLY = {"subword_len"}
 
 
 def test_entry_runs(spark):
@@ -25,7 +25,7 @@ def test_keys_have_oracles():
 def test_oracles_parse_in_duckdb():
     con = duckdb.connect()
     sf = "/root/testdata/sf0.001"
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     for key, sql in entry_mod.oracle_sql().items():
         con.sql(sql).fetchall()  # raises on any SQL error

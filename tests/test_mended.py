@@ -54,9 +54,10 @@ def test_a_list_above_the_variant_limit_inside_an_object_keeps_all_rows(spark):
 )
 def test_odd_documents(spark, payload, kind, n):
     df = spark.createDataFrame([("f", payload)], "path string, payload string")
-    got = ji.payload_status(df).first()
-    assert (got.kind, got.n_rows) == (kind, n)
-    assert ji.explode_payloads(df).count() == n
+    with ji.last_of_repeated_keys(spark):
+        got = ji.payload_status(df).first()
+        assert (got.kind, got.n_rows) == (kind, n)
+        assert ji.explode_payloads(df).count() == n
 
 
 def test_the_last_value_of_a_repeated_key_counts(spark):

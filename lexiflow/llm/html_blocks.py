@@ -195,8 +195,8 @@ def blocks(page: str) -> list[Block]:
 def score(b: Block, has_main: bool, known: bool) -> int:
     """Evidence for (above 0) or against (below 0) a block."""
     density = b.stops / max(1, b.words)
-    # a few words may well have no stop word among them
-    s = (density >= HIGH_STOPS) - (density < LOW_STOPS and len(b.text) >= SHORT) if known else 0
+    # a few words may well have no stop word among them: such a block stays undecided, in an article or not
+    s = (density >= HIGH_STOPS) - (density < LOW_STOPS and (len(b.text) >= SHORT or b.place == MAIN)) if known else 0
     s += (len(b.text) >= LONG) - (len(b.text) < SHORT)
     links = b.linked > MAX_LINK_DENSITY * len(b.text)
     if b.place == MAIN:

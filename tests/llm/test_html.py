@@ -31,7 +31,7 @@ def plain_label(b, has_main, known):
     s = 0
     if known and density >= 0.22:
         s += 1
-    if known and density < 0.1 and n >= 60:
+    if known and density < 0.1 and (n >= 60 or b.place == hb.MAIN):
         s -= 1
     s += 1 if n >= 180 else -1 if n < 60 else 0
     if b.place == hb.MAIN:

@@ -447,3 +447,16 @@ def test_html(spark):
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert bag(got) == bag([(1, "u", want, len(want))] * 2 + [(2, None, "", 0), (None, "v", "", 0), (3, "w", "a\nb" + " c" * 50_000, 100_003)])
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_a_long_passage_of_mixed_holders_is_reported_whole(spark):
+    rng = random.Random(29)
+    p = [f"w{i}x{rng.randint(0, 9)}" for i in range(900)]
+    around = lambda n: [f"r{rng.randint(0, 10**9)}" for _ in range(n)]
+    rows = [(10, around(30) + p + around(30)), (11, around(700) + p + around(20))]
+    # all but the inner 100 words of the passage also stand elsewhere, in documents of every order
+    for d, part in ((1, p[:400]), (2, p[500:]), (30, p[:400]), (31, p[500:]), (5, p[200:400]), (6, p[500:700])):
+        rows.append((d, around(20) + part + around(20)))
+    got = repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()
+    whole = {(r.doc_id, r.start, r.length) for r in got} | {(r.other_id, r.other_start, r.other_length) for r in got}
+    assert {(10, 30, 900), (11, 700, 900)} <= whole

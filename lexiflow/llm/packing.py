@@ -28,8 +28,15 @@ from lexiflow.sources.tables import materialize
 WINDOW = 4096
 END_ID = 2
 GROUP_PIECES = 2000
-#: distinct parts and words remembered by a Python worker; it bounds memory and changes no result
-PARTS, WORDS = 60_000, 200_000
+#: distinct parts and words remembered by a Python worker, none above KEPT_CHARS characters, so that the memory is
+#: bounded in bytes too; it changes no result
+PARTS, WORDS, KEPT_CHARS = 60_000, 200_000, 64
+#: texts on which a tokenizer must give the ids that :class:`WordIds` puts together, or whole texts are encoded by it
+PROBES = (
+    "The quick Brown fox, it's 42 days old; don't SHOUT!  Two  spaces\nand a line\tand a tab",
+    " leading and trailing ", "l'été où ÇA naïve straße ñandú İstanbul ǅ", "x=1.5e-3 (a_b) [c] {d} <e> #f $g %h &i *j |k ~l `m` @n ^o \\p",
+    "他们在北京工作。", "приве́т мир", "नमस्ते दुनिया", "🙂👍🏽 e\u0301 \u00a0 \u2028 \u3000 \x1c \x85 \u200b", "<|endoftext|> a<|x|>b", "'s 'T we'll I'VE",
+)
 
 
 class WordIds(dict):
@@ -38,7 +45,10 @@ class WordIds(dict):
     The tokenizer lower-cases, drops white space and never merges across it, so the
     ids of a text are those of its space-separated parts in a row.  Parts of plain
     Latin letters are split by the tokenizer's own pattern and each word goes to its
-    BPE model; all other parts go through the whole tokenizer.
+    BPE model; all other parts go through the whole tokenizer.  That holds for
+    tokenizers of this kind only: ``composed`` is false if the ids put together for
+    any of ``PROBES`` differ from the tokenizer's own, and then every text goes
+    through the whole tokenizer at once.
     """
 
     def __init__(self, path: str):
@@ -53,13 +63,20 @@ class WordIds(dict):
         hidden = iter(range(256, 512))
         self.alphabet = "".join(shown.get(b) or chr(next(hidden)) for b in range(256))
         self.words: dict[str, bytes] = {}
+        self.composed = True
+        self.composed = all(self.ids(x) == self.encoded(x) for x in PROBES)
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def word(self, w: str) -> bytes:
         if (ids := self.words.get(w)) is None:
-            if len(self.words) >= WORDS:
-                self.words.clear()
             chars = w.encode().decode("latin-1").translate(self.alphabet)
-            ids = self.words[w] = np.array([t.id for t in self.model.tokenize(chars)], dtype="<u4").tobytes()
+            ids = np.array([t.id for t in self.model.tokenize(chars)], dtype="<u4").tobytes()
+            if len(w) <= KEPT_CHARS:
+                if len(self.words) >= WORDS:
+                    self.words.clear()
+                self.words[w] = ids
         return ids
 
     def __missing__(self, part: str) -> bytes:
@@ -73,13 +90,16 @@ class WordIds(dict):
             else:
                 ids = b"".join(map(self.word, self.find(part.lower())))
         else:
-            ids = np.array(self.tok.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= PARTS:
-            self.clear()
-        self[part] = ids
+            ids = self.encoded(part)
+        if len(part) <= KEPT_CHARS:
+            if len(self) >= PARTS:
+                self.clear()
+            self[part] = ids
         return ids
 
     def ids(self, text: str | None) -> bytes:
+        if not self.composed:
+            return self.encoded(text or "")
         return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 

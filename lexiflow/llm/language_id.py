@@ -22,7 +22,9 @@ HASHES = 3
 SLOT_BITS = 20
 #: labelled rows of each language the filters are learned from, at most about so many, chosen by hash
 SAMPLE_ROWS = 20_000
-MIN_COUNT = 4
+#: an n-gram counts for a language if it occurs once per so many learned rows of it, but at least once and at most
+#: MIN_COUNT times, so that languages of a few short texts are learned too
+ROWS_PER_COUNT, MIN_COUNT = 250, 4
 #: an n-gram belongs to the languages whose rate is at least this share of the highest rate
 RATE_SHARE = 0.3
 #: languages of a mask word; a table has as many words a slot as its languages need
@@ -70,6 +72,11 @@ class Filters:
         self.false = np.minimum(fill**HASHES, 0.99)
 
 
+def least_count(rows: int, sample_rows: int) -> int:
+    """Occurrences an n-gram needs in a language of ``rows`` rows."""
+    return min(max(min(rows, sample_rows) // ROWS_PER_COUNT, 1), MIN_COUNT)
+
+
 def limit(sample_rows: int, rows: int) -> int:
     """The 64-bit hash up to which about ``sample_rows`` of ``rows`` rows lie; the highest if there are no more."""
     return min(max((sample_rows << 64) // rows, 1), 1 << 64) - 1 - (1 << 63)
@@ -105,7 +112,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts = materialize(counts, "lang-counts")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     total = F.element_at(F.array(*[F.lit(float(totals.get(i, 0) or 1)) for i in range(len(languages))]), F.col("lang") + 1)
-    rated = counts.where(F.col("n") >= MIN_COUNT).groupBy("g").agg(F.collect_list(F.struct("lang", (F.col("n") / total).alias("rate"))).alias("v"))
+    least = F.element_at(F.array(*[F.lit(least_count(sizes[x], sample_rows)) for x in languages]), F.col("lang") + 1)
+    rated = counts.where(F.col("n") >= least).groupBy("g").agg(F.collect_list(F.struct("lang", (F.col("n") / total).alias("rate"))).alias("v"))
     top = F.array_max(F.transform("v", lambda x: x["rate"]))
     kept = F.filter("v", lambda x: x["rate"] >= top * RATE_SHARE)
     bits = lambda w: F.aggregate(F.filter(kept, lambda x: F.floor(x["lang"] / WORD) == w), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"] % WORD)))

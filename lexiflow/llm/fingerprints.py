@@ -10,7 +10,9 @@ the Gamma distribution, b has 32 bits; for equal weights any identical draw give
 exact collision rates, so the tables touch only unequal weights, slightly.
 
 Texts are shuffled once, by buckets of the document order; counting, sampling and
-comparing with the next document stay in that partitioning.
+comparing with the next document stay in that partitioning.  Buckets are cut by id,
+hash of the text and place of reading, so equal ids and repeated rows fill as many
+buckets as their texts need.
 """
 
 from __future__ import annotations
@@ -20,10 +22,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiflow.sources.tables import materialize
+
 SAMPLES = 64
 CHUNK = 2
 TABLE_BITS = 12
 WS = r"[\x20\x09-\x0D]+"
+#: text of a bucket; on small tables at least SMALL_BYTES
+BUCKET_BYTES, SMALL_BYTES = 128 << 20, 4 << 20
 _LOWEST = -(1 << 63)
 
 
@@ -94,46 +100,65 @@ def fingerprint_text(sig: Column) -> Column:
     return F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(F.xxhash64(x).bitwiseAND(F.lit(65535)))), 4, "0")), "")
 
 
-def order_buckets(docs: DataFrame, buckets: int, id_col: str = "id") -> list[int]:
-    """Ascending ids, taken from the data, that end buckets of about equal size (at most ``buckets`` of them)."""
-    shares = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets)])
-    row = docs.agg(F.percentile_approx(id_col, shares, 10 * buckets).alias("p"), F.max(id_col).alias("m")).first()
-    return sorted({*(row["p"] or []), *([] if row["m"] is None else [row["m"]])})
+def order_key() -> Column:
+    """id descending, hash of the text, place of reading, as text of 48 hexadecimal digits that sorts in this order.
+
+    The place parts rows that are equal in id and text, so that no id and no group of copies is one task's work;
+    which of such rows comes first changes no result.
+    """
+    digits = lambda c: F.lpad(F.hex(c.bitwiseXOR(F.lit(_LOWEST))), 16, "0")
+    return F.concat(digits(F.bitwise_not("id")), digits(F.xxhash64("text")), digits(F.monotonically_increasing_id()))
+
+
+def bucket_starts(docs: DataFrame, buckets: int | None = None) -> list[str]:
+    """Least order key of each bucket, ascending; Spark's range partitioner cuts the narrow, written keys.
+
+    Buckets hold about equal numbers of rows.  There are enough for BUCKET_BYTES of text each, and on
+    small tables for all tasks of a shuffle, as long as they hold SMALL_BYTES each.
+    """
+    keys = materialize(docs.select(order_key().alias("k"), F.octet_length("text").cast("long").alias("size")), "fp-keys")
+    if buckets is None:
+        size = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        wide = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(1, math.ceil(size / BUCKET_BYTES), min(wide, math.ceil(size / SMALL_BYTES)))
+    parts = keys.select("k").repartitionByRange(buckets, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k"))
+    return sorted(r["k"] for r in parts.collect())
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(bucket, rn, ghost, id, doc_id, text, next_text) in descending doc_id order.
+    """(bucket, rn, ghost, id, doc_id, text, next_text) in descending doc_id order, ties by the text's hash.
 
     ``docs`` has id, doc_id, text.  A bucket's first row is repeated as a ghost at the
     end of the bucket before it (the very first one at the end of the last bucket),
-    so every real row meets its next document inside its own bucket.
+    so every real row meets its next document inside its own bucket.  Texts are
+    shuffled once, to as many tasks as there are buckets.
     """
-    if buckets is None:
-        buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ends = order_buckets(docs, min(buckets, 10_000))
-    if not ends:
-        ends = [0]
-    step = max(1, math.isqrt(len(ends)))
-    all_ends = F.expr(f"cast(split('{','.join(map(str, ends))}', ',') as array<bigint>)")
-    tops = F.expr(f"cast(split('{','.join(map(str, ends[step - 1 :: step]))}', ',') as array<bigint>)")
-    df = docs.withColumn("_top", F.size(F.filter(tops, lambda x: x < F.col("id"))))
-    df = df.withColumn("bucket", F.col("_top") * step + F.size(F.filter(F.slice(all_ends, F.col("_top") * step + 1, F.lit(step)), lambda x: x < F.col("id"))))
-    above = F.when(F.col("bucket") == len(ends) - 1, F.lit(0)).otherwise(F.col("bucket") + 1)
+    starts = bucket_starts(docs, buckets) or ["0" * 48]
+    step = max(1, math.isqrt(len(starts)))
+    listed = lambda keys: F.expr(f"split('{','.join(keys)}', ',')")
+    df = docs.withColumn("k", order_key())
+    # the last start not above the key, found in two short scans
+    df = df.withColumn("_top", F.greatest(F.size(F.filter(listed(starts[::step]), lambda x: x <= F.col("k"))) - 1, F.lit(0)) * step)
+    df = df.withColumn("bucket", F.greatest(F.col("_top") + F.size(F.filter(F.slice(listed(starts), F.col("_top") + 1, F.lit(step)), lambda x: x <= F.col("k"))) - 1, F.lit(0)))
+    before = F.when(F.col("bucket") == 0, F.lit(len(starts) - 1)).otherwise(F.col("bucket") - 1)
     mine = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("ghost"))
-    is_end = F.element_at(all_ends, F.col("bucket") + 1) == F.col("id")
-    places = F.when(is_end, F.array(mine, F.struct(above.alias("bucket"), F.lit(True).alias("ghost")))).otherwise(F.array(mine))
-    df = df.select("id", "doc_id", "text", F.explode(places).alias("p")).select("id", "doc_id", "text", "p.bucket", "p.ghost")
-    w = Window.partitionBy("bucket").orderBy("ghost", F.col("id").desc(), F.xxhash64("text"), "text")
-    return df.withColumn("rn", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w))
+    is_start = F.element_at(listed(starts), F.col("bucket") + 1) == F.col("k")
+    places = F.when(is_start, F.array(mine, F.struct(before.alias("bucket"), F.lit(True).alias("ghost")))).otherwise(F.array(mine))
+    df = df.select("id", "doc_id", "text", "k", F.explode(places).alias("p")).select("id", "doc_id", "text", "k", "p.bucket", "p.ghost")
+    w = Window.partitionBy("bucket").orderBy("ghost", "k")
+    df = df.repartition(len(starts), "bucket")
+    return df.withColumn("rn", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w)).drop("k")
 
 
 def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text ends in as many code points of the next document (descending
-    doc_id, null last, ties by text) as half the text has; the last document is
+    doc_id, null last, ties by the text's hash) as half the text has; the last document is
     followed by the first.  Null counts as empty.  Texts without words have a
-    fingerprint of their own and are alike only among themselves.  An empty table
+    fingerprint of their own and are alike only among themselves.  Each repeated row
+    is a document; equal ones follow each other.  ``docs`` is read twice and must give its
+    rows in the same order both times, as tables in files do.  An empty table
     gives an empty result; other columns are not read.
     """
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

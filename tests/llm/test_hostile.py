@@ -2,9 +2,12 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexiflow.llm import packing as pk
+from lexiflow.llm.fingerprints import fingerprint_edits, with_next
 from lexiflow.llm.language_id import MIN_COUNT, language_id, least_count
 from lexiflow.llm.queries import tokenizer_path
 
@@ -37,3 +40,24 @@ def test_long_parts_are_not_remembered():
         assert w.ids(part) == w.encoded(part)
     assert max(map(len, w)) <= pk.KEPT_CHARS and max(map(len, w.words)) <= pk.KEPT_CHARS
     assert len(w) == before[0]
+
+
+@pytest.mark.parametrize("buckets", [1, 7, None])
+def test_next_document_of_null_and_repeated_ids(spark, tmp_path, buckets):
+    low = -(1 << 63)
+    rows = [(None, f"null {i}") for i in range(90)] + [(7, f"seven {i}") for i in range(40)] + [(9, "same text")] * 60 + [(i, None) for i in range(20, 40)]
+    random.Random(3).shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    src = spark.read.parquet(f"{tmp_path}/d").select(F.coalesce("doc_id", F.lit(low)).alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    order = [(r.id, r.text) for r in src.orderBy(F.col("id").desc(), F.xxhash64("text")).collect()]
+    got = with_next(src, buckets).where("not ghost").collect()
+    assert sorted((r.id, r.text, r.next_text) for r in got) == sorted((i, t, order[(n + 1) % len(order)][1]) for n, (i, t) in enumerate(order))
+    if buckets == 7:
+        assert max(sum(r.bucket == b for r in got) for b in range(7)) < 60  # neither the null id nor the repeated row is one bucket
+    out = fingerprint_edits(spark.read.parquet(f"{tmp_path}/d")).collect()
+    assert sorted((r.doc_id or 0) for r in out) == sorted((r[0] or 0) for r in rows)
+
+
+def test_fingerprints_of_one_row(spark):
+    one = fingerprint_edits(spark.createDataFrame([(3, "a b c d")], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.n_chars, r.near_next) for r in one] == [(3, 7, 1.0)]

@@ -29,7 +29,7 @@ CHUNK = 2
 TABLE_BITS = 12
 WS = r"[\x20\x09-\x0D]+"
 #: text of a bucket; on small tables at least SMALL_BYTES
-BUCKET_BYTES, SMALL_BYTES = 128 << 20, 4 << 20
+BUCKET_BYTES, SMALL_BYTES, UNIT_BYTES = 128 << 20, 4 << 20, 2 << 10
 _LOWEST = -(1 << 63)
 
 
@@ -113,7 +113,7 @@ def order_key() -> Column:
 def bucket_starts(docs: DataFrame, buckets: int | None = None) -> list[str]:
     """Least order key of each bucket, ascending; Spark's range partitioner cuts the narrow, written keys.
 
-    Buckets hold about equal numbers of rows.  There are enough for BUCKET_BYTES of text each, and on
+    A key counts once per UNIT_BYTES of its text, so buckets hold about equal bytes.  There are enough for BUCKET_BYTES of text each, and on
     small tables for all tasks of a shuffle, as long as they hold SMALL_BYTES each.
     """
     keys = materialize(docs.select(order_key().alias("k"), F.octet_length("text").cast("long").alias("size")), "fp-keys")
@@ -121,8 +121,9 @@ def bucket_starts(docs: DataFrame, buckets: int | None = None) -> list[str]:
         size = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         wide = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(1, math.ceil(size / BUCKET_BYTES), min(wide, math.ceil(size / SMALL_BYTES)))
-    parts = keys.select("k").repartitionByRange(buckets, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k"))
-    return sorted(r["k"] for r in parts.collect())
+    weighed = keys.select(F.explode(F.array_repeat("k", (1 + F.floor(F.col("size") / UNIT_BYTES)).cast("int"))).alias("k"))
+    parts = weighed.repartitionByRange(buckets, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k"))
+    return sorted({r["k"] for r in parts.collect()})
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -146,7 +147,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     places = F.when(is_start, F.array(mine, F.struct(before.alias("bucket"), F.lit(True).alias("ghost")))).otherwise(F.array(mine))
     df = df.select("id", "doc_id", "text", "k", F.explode(places).alias("p")).select("id", "doc_id", "text", "k", "p.bucket", "p.ghost")
     w = Window.partitionBy("bucket").orderBy("ghost", "k")
-    df = df.repartition(len(starts), "bucket")
+    df = df.repartitionById(len(starts), F.col("bucket").cast("int"))
     return df.withColumn("rn", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w)).drop("k")
 
 

@@ -5,8 +5,8 @@
 2. Expectation-maximisation on these counts estimates the share of good documents and
    how often each labeller votes what on good and on bad ones; each pattern gets a
    posterior.
-3. Posteriors of a bounded sample train a logistic scorer on hashed character-class
-   n-grams, which judges every document, also those no heuristic knows.
+3. Posteriors of a bounded sample of distinct texts train a logistic scorer on hashed
+   character-class n-grams, which judges every document, also those no heuristic knows.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from lexiflow.llm.textops import Words, mix, shingles, slices
 
 BUCKETS = 4096
-#: rows whose posterior labels train the scorer, at most about so many, chosen by hash
-SAMPLE_ROWS = 3000
+#: distinct texts whose posterior labels train the scorer, never more, those of the least hashes
+SAMPLE_ROWS = 4000
 THRESHOLD = 0.5
 LABELLERS = 7
 GOOD, BAD, ABSTAIN = 1, 0, 2
@@ -147,10 +147,12 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, labellers
 
 
 def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by accelerated gradient descent."""
+    """Logistic regression on soft labels by accelerated gradient descent, with the step that the loss's curvature allows."""
+    steep = float(np.einsum("ij,ij->i", x, x).max()) + 1 if len(x) else 1.0
+    rate = 1 / (steep / 4 + ridge)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     weight = np.float32(1 / max(1, len(y)))
-    vw, vb, mw, mb, rate = w.copy(), b, w.copy(), b, 8.0
+    vw, vb, mw, mb = w.copy(), b, w.copy(), b
     for i in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -30, 30)))
         g = weight * (p - y)
@@ -168,9 +170,13 @@ class Scorer:
         self.weights, self.bias, self.accuracies = weights, bias, accuracies
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS) -> Scorer | None:
-    """Scorer from the votes on all rows and a bounded sample of texts; None for a table without words."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS) -> Scorer | None:
+    """Scorer from the votes on all rows and a bounded sample of texts; None for a table without words.
+
+    The sample is the ``sample_rows`` texts of the least 64-bit hashes, each once however often it
+    is repeated; only rows below a hash bound that lets twice as many rows through are prepared.
+    """
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,54 +191,61 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     p, n = np.array([r["p"] for r in counted]), np.array([r["n"] for r in counted])
     post, probs, _ = expectation_maximisation(p, n)
     known = dict(zip(p.tolist(), post.tolist(), strict=True))
-    share = min(1.0, sample_rows / n.sum())
-    part = texts.where(F.pmod(F.xxhash64(F.lit(2), "id", "text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("text")
+    bound = min((2 * sample_rows << 64) // int(n.sum()), 1 << 64) - 1 - (1 << 63)
+    part = texts.select(F.xxhash64(F.lit(2), "text").alias("h"), "text").where(F.col("h") <= F.lit(bound))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", 1 << 20, 256):
+                b = b.take(pa.array(np.unique(b.column("h").to_numpy(), return_index=True)[1]))
                 w = Words(b.column("text"))
                 x, q = features(w, buckets).astype(np.float16), pattern(votes(w))
                 ok = np.flatnonzero(w.count > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([x[i].tobytes() for i in ok], pa.binary()), pa.array(q[ok])], names=["x", "p"])
+                yield pa.RecordBatch.from_arrays([b.column("h").take(pa.array(ok)), pa.array(q[ok]), pa.array([x[i].tobytes() for i in ok], pa.binary())], names=["h", "p", "x"])
 
-    rows = part.mapInArrow(sampled, "x binary, p long").orderBy("p", "x").collect()
+    once = part.mapInArrow(sampled, "h long, p long, x binary").groupBy("h").agg(F.min("p").alias("p"), F.first("x").alias("x"))
+    rows = once.orderBy("h").limit(sample_rows).collect()
     if not rows:
         return Scorer(p, post, np.zeros(buckets, np.float32), 0.0, probs)
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
+    x = np.empty((len(rows), buckets), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r["x"], np.float16)
     y = np.array([known.get(r["p"], 0.5) for r in rows], np.float32)
     del rows
     return Scorer(p, post, *fit_scorer(x, y), probs)
 
 
-def _judge(shared):
+def _judge(shared, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(*shared.value)
         for batch in batches:
-            for b in slices(batch, "_text", 1 << 20, 256):
-                w = Words(b.column("_text"))
+            for b in slices(batch, text, 1 << 20, 256):
+                w = Words(b.column(text))
                 z = features(w, len(s.weights)) @ s.weights + s.bias
                 score = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
                 post = np.array([s.post.get(q, 0.5) for q in pattern(votes(w)).tolist()])
                 score[w.count == 0], post[w.count == 0] = 0.0, 0.0
-                keep = [c for c in b.schema.names if c != "_text"]
+                keep = [c for c in b.schema.names if c != text]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(post), pa.array(score)], names=[*keep, "weak_label", "quality_score"])
 
     return run
 
 
-def score_quality(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def score_quality(docs: DataFrame, columns: list[str], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The named columns of every row with weak_label and quality_score (both 0 to 1, 1 is good).
 
     A null text, or one without a word, scores 0.  A table without any word scores 0
     everywhere; an empty table gives an empty result.  Repeated rows get equal scores.
     ``weak_label`` and ``quality_score`` replace input columns of these names.
     """
-    columns = [c for c in columns if c not in ("weak_label", "quality_score", "_text")]
-    scorer = train(docs, id_col, text_col, sample_rows)
-    src = docs.select(*columns, F.col(text_col).cast("string").alias("_text"))
+    columns = [c for c in columns if c not in ("weak_label", "quality_score")]
+    scorer = train(docs, text_col, sample_rows)
+    own = "_text"
+    while own in columns:
+        own += "_"
+    src = docs.select(*columns, F.col(text_col).cast("string").alias(own))
     if scorer is None:
         return src.select(*columns, F.lit(0.0).alias("weak_label"), F.lit(0.0).alias("quality_score"))
     shared = docs.sparkSession.sparkContext.broadcast(scorer.state)  # one weight per bucket, one posterior per pattern
-    schema = src.drop("_text").schema.add("weak_label", "double").add("quality_score", "double")
-    return src.mapInArrow(_judge(shared), schema)
+    schema = src.drop(own).schema.add("weak_label", "double").add("quality_score", "double")
+    return src.mapInArrow(_judge(shared, own), schema)

@@ -1,11 +1,11 @@
-"""N-gram Jaccard self-join: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard self-join: MinHash prefixes of a fixed length, then exact verification.
 
 1. Copies (equal words, ignoring case and white space) become one text.
-2. A text has ``trees`` labels of up to ``max_depth`` MinHash values of its word
-   5-grams.  Each tree is a prefix trie of its sorted labels; the matched prefix is
-   shortened step by step, from the whole label, until texts at the threshold meet
-   in some tree with the target recall.
-3. Texts below one trie node are candidates.  A pair is verified only in the first
+2. A text has ``trees`` prefixes of MinHash values of its word 5-grams, each folded to
+   one number.  Their length is shortened from ``max_depth`` until a pair at the
+   threshold meets in some prefix with the target recall; this depends on the
+   parameters alone, so no longer labels and no tries are built: it is banding.
+3. Texts of one prefix, a node, are candidates.  A pair is verified only in the first
    tree in which it meets; nodes whose texts another tree already has are dropped.
    A node with more than ``block`` texts is cut into blocks and every pair of blocks
    is a task of its own, so nothing caps a node and no task holds a whole one.

@@ -20,7 +20,8 @@ def test_registered():
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_sql(spark, key):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for t in ("documents", "labels", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(ORACLES[key]).df()
     got = entry_mod.queries()[key](spark, SF).toPandas()[list(want.columns)]
     by = lambda d: sorted(map(tuple, d.astype(str).values.tolist()))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.textops import flat, mix, multipliers, slices
+from lexiflow.llm.textops import STEP, flat, mix, multipliers, slices
 from lexiflow.sources.tables import materialize
 
 N = 5
@@ -40,16 +40,17 @@ def padded(text: Column) -> Column:
     return F.concat(pad, F.lower(F.coalesce(text.cast("string"), F.lit(""))), pad)
 
 
-def ngrams(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram as a number, row) of the window around every letter byte; other bytes count as spaces."""
+def ngrams(arr: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(n-gram as a number, row) of the window around every letter byte, ``STEP`` bytes at a time; other bytes count as spaces."""
     data, off = flat(arr)
     data = _LETTER[data]
     mid = N // 2
-    at = np.flatnonzero(data != 32)  # rows are padded, so no window leaves its row
-    code = np.zeros(len(at), np.uint64)
-    for j in range(N):
-        code = (code << np.uint64(8)) | data[at + (j - mid)].astype(np.uint64)
-    return code, np.searchsorted(off[1:], at, side="right")
+    for lo in range(0, len(data), STEP):
+        at = lo + np.flatnonzero(data[lo : lo + STEP] != 32)  # rows are padded, so no window leaves its row
+        code = np.zeros(len(at), np.uint64)
+        for j in range(N):
+            code = (code << np.uint64(8)) | data[at + (j - mid)].astype(np.uint64)
+        yield code, np.searchsorted(off[1:], at, side="right")
 
 
 def positions(code: np.ndarray, slot_bits: int) -> Iterator[np.ndarray]:
@@ -102,11 +103,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
-                code, row = ngrams(b.column("text"))
-                lang = b.column("lang").to_numpy(zero_copy_only=False)[row]
-                for x in np.unique(lang):
-                    g, n = np.unique(code[lang == x], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), x - 1, np.int32)), pa.array(n.astype(np.int64))], names=["g", "lang", "n"])
+                of_row = b.column("lang").to_numpy(zero_copy_only=False)
+                for code, row in ngrams(b.column("text")):
+                    lang = of_row[row]
+                    for x in np.unique(lang):
+                        g, n = np.unique(code[lang == x], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), x - 1, np.int32)), pa.array(n.astype(np.int64))], names=["g", "lang", "n"])
 
     counts = part.mapInArrow(count, "g long, lang int, n long").groupBy("g", "lang").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "lang-counts")
@@ -148,17 +150,18 @@ def _predict(shared):
         table = [np.ascontiguousarray(w) for w in f.table.T.astype(width)]
         for batch in batches:
             for b in slices(batch, "text"):
-                code, row = ngrams(b.column("text"))
                 n = len(b)
-                slots = list(positions(code, len(f.table).bit_length() - 1))
-                seen = np.maximum(np.bincount(row, minlength=n), 1)
-                rate = np.empty((n, len(f.languages)))
-                for i in range(len(f.languages)):
-                    if i % WORD == 0:
-                        hit = np.full(len(code), np.iinfo(width).max, width)
-                        for slot in slots:
-                            hit &= table[i // WORD][slot]
-                    rate[:, i] = np.bincount(row, weights=(hit >> width(i % WORD)) & width(1), minlength=n) / seen
+                seen, hits = np.zeros(n, np.int64), np.zeros((n, len(f.languages)))
+                for code, row in ngrams(b.column("text")):
+                    slots = list(positions(code, len(f.table).bit_length() - 1))
+                    seen += np.bincount(row, minlength=n)
+                    for i in range(len(f.languages)):
+                        if i % WORD == 0:
+                            hit = np.full(len(code), np.iinfo(width).max, width)
+                            for slot in slots:
+                                hit &= table[i // WORD][slot]
+                        hits[:, i] += np.bincount(row, weights=(hit >> width(i % WORD)) & width(1), minlength=n)
+                rate = hits / np.maximum(seen, 1)[:, None]
                 rate = np.clip((rate - f.false) / (1 - f.false), 0, 1)
                 best, total = rate.argmax(1), rate.sum(1)
                 best[total == 0] = f.prior

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.textops import Words, mix, shingles, slices
+from lexiflow.llm.textops import STEP, Words, mix, row_sums, shingles, slices
 
 BUCKETS = 4096
 #: distinct texts whose posterior labels train the scorer, never more, those of the least hashes
@@ -53,11 +53,9 @@ def _same_as_before(words: Words) -> np.ndarray:
 def votes(words: Words) -> np.ndarray:
     """Votes of the labellers on each row, one column each."""
     cls, rows = _CLASS[words.data], words.rows
-    edge = words.off
 
     def total(flag: np.ndarray) -> np.ndarray:
-        c = np.concatenate(([0], np.cumsum(flag)))
-        return (c[edge[1:]] - c[edge[:-1]]).astype(np.float64)
+        return row_sums(flag, words.off).astype(np.float64)
 
     n = words.count.astype(np.float64)
     some = np.maximum(n, 1)
@@ -65,8 +63,11 @@ def votes(words: Words) -> np.ndarray:
     lower, upper = total(cls == 2), total(cls == 3)
     symbols = total(_SYMBOL[cls]) / dense
     shouting = upper / np.maximum(lower + upper, 1)
-    inner = np.concatenate(([0], np.cumsum(~_LETTER[cls])))
-    plain = (inner[words.end - 1] - inner[words.start] == 0) & _WORD_END[cls[words.end - 1]] if len(words.start) else np.zeros(0, bool)
+    plain = np.zeros(0, bool)
+    if len(words.start):
+        bounds = np.stack([words.start, words.end - 1], axis=1).ravel()
+        inner = np.logical_or.reduceat(~_LETTER[cls], bounds)[::2] & (words.end - words.start > 1)
+        plain = ~inner & _WORD_END[cls[words.end - 1]]
     plain_share = np.bincount(words.row, weights=plain, minlength=rows) / some
     sh, row, _ = shingles(words, 5, short=False)
     order = np.lexsort((sh, row))
@@ -101,18 +102,30 @@ def features(words: Words, buckets: int) -> np.ndarray:
     The items are class 4-grams of the text and, per word, its first and last class,
     its length and whether it repeats the word before.
     """
-    kinds = _CLASS[words.data].astype(np.uint64)
-    n = max(0, len(kinds) - 3)
-    code = (kinds[:n] << np.uint64(12)) | (kinds[1 : n + 1] << np.uint64(8)) | (kinds[2 : n + 2] << np.uint64(4)) | kinds[3 : n + 3]
-    row = np.searchsorted(words.off[1:], np.arange(n), side="right")
-    inside = np.arange(n) + 4 <= words.off[1:][row] if n else np.zeros(0, bool)
+    kinds, off, rows = _CLASS[words.data], words.off, words.rows
+    shape, out = (rows, buckets), np.zeros((rows, buckets), np.float32)
+
+    def add(count: np.ndarray, least: int) -> None:
+        f = count.reshape(shape).astype(np.float32)
+        np.add(out, f / (f.sum(1, keepdims=True) + least), out=out)  # a few words are little evidence either way
+
+    of_code = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    count = np.zeros(rows * buckets, np.int64)
+    for lo in range(0, len(kinds) - 3, STEP):
+        part = kinds[lo : lo + STEP + 3].astype(np.int64)
+        n = len(part) - 3
+        code = (part[:n] << 12) | (part[1 : n + 1] << 8) | (part[2 : n + 2] << 4) | part[3:]
+        at = np.arange(lo, lo + n)
+        row = np.searchsorted(off[1:], at, side="right")
+        inside = at + 4 <= off[1:][row]
+        low, high = int(row[0]), int(row[-1]) + 1
+        count[low * buckets : high * buckets] += np.bincount((row[inside] - low) * buckets + of_code[code[inside]], minlength=(high - low) * buckets)
+    add(count, 64)
     length = np.minimum(words.end - words.start, 15).astype(np.uint64)
-    word = (_same_as_before(words).astype(np.uint64) << np.uint64(20)) | (kinds[words.start] << np.uint64(8)) | (kinds[words.end - 1] << np.uint64(4)) | length
-    out = np.zeros((words.rows, buckets), np.float32)
-    for c, r, least in ((code[inside], row[inside], 64), (word | np.uint64(1 << 21), words.row, 12)):
-        bucket = (mix(c) % np.uint64(buckets)).astype(np.int64)
-        f = np.bincount(r * buckets + bucket, minlength=words.rows * buckets).reshape(words.rows, buckets).astype(np.float32)
-        out += f / (f.sum(1, keepdims=True) + least)  # a few words are little evidence either way
+    ends = (kinds[words.start].astype(np.uint64) << np.uint64(8)) | (kinds[words.end - 1].astype(np.uint64) << np.uint64(4))
+    word = (_same_as_before(words).astype(np.uint64) << np.uint64(20)) | ends | length
+    bucket = (mix(word | np.uint64(1 << 21)) % np.uint64(buckets)).astype(np.int64)
+    add(np.bincount(words.row * buckets + bucket, minlength=rows * buckets), 12)
     return np.sqrt(out)
 
 

@@ -2,8 +2,9 @@
 
 A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``.  Its 64-bit hash is a
 polynomial of its UTF-8 bytes, finished by a mixer; shingles combine the hashes
-of ``k`` words in a row.  All of it works on whole texts; a batch is only cut
-between documents, so that the working arrays stay small.
+of ``k`` words in a row.  All of it works on whole texts: a batch is only cut
+between documents, and what is computed per byte is computed ``STEP`` bytes at a
+time, also inside one long text, so that the working arrays stay small.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ WS = b" \t\n\x0b\x0c\r"
 IS_WS = np.zeros(256, dtype=bool)
 IS_WS[list(WS)] = True
 
+#: bytes that are worked on at a time
+STEP = 1 << 18
+
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _POWERS = np.array([1], dtype=np.uint64)
@@ -92,14 +96,39 @@ class Words:
         self.count = np.diff(self.bounds)
 
     def hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
         length = self.end - self.start
+        out, to, a = np.empty(len(length), np.uint64), np.cumsum(length), 0
+        while a < len(length):
+            b = int(np.searchsorted(to, (to[a - 1] if a else 0) + STEP, side="right"))
+            if b > a:
+                out[a:b] = self._sums(self.start[a:b], length[a:b])
+            else:  # one word of more than STEP bytes
+                b, out[a] = a + 1, self._long(int(self.start[a]), int(self.end[a]))
+            a = b
+        return mix(out + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def _sums(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         first = np.concatenate(([0], np.cumsum(length)))
         pos = np.arange(first[-1]) - np.repeat(first[:-1], length)
-        byte = self.data[pos + np.repeat(self.start, length)].astype(np.uint64) + np.uint64(1)
+        byte = self.data[pos + np.repeat(start, length)].astype(np.uint64) + np.uint64(1)
         byte *= _powers(int(length.max()))[pos]
-        return mix(np.add.reduceat(byte, first[:-1]) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return np.add.reduceat(byte, first[:-1])
+
+    def _long(self, start: int, end: int) -> np.uint64:
+        total = 0
+        for lo in range(start, end, STEP):
+            piece = self._sums(np.array([lo]), np.array([min(end - lo, STEP)]))
+            total += int(piece[0]) * pow(_BASE, lo - start, _MASK + 1)
+        return np.uint64(total & _MASK)
+
+
+def row_sums(flag: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many bytes of each row have the flag; ``off`` are the rows' byte bounds."""
+    out = np.zeros(len(off) - 1, np.int64)
+    full = np.flatnonzero(off[1:] > off[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(flag, off[full], dtype=np.int64)
+    return out
 
 
 def shingles(words: Words, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

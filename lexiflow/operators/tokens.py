@@ -151,7 +151,8 @@ def subword_ids(df: DataFrame, tokenizer_path: str, max_len: int | None = None,
 
     ``tokenizer_path`` is a file of the ``tokenizers`` library that the driver can read; its
     content (bounded by ``MAX_TOKENIZER_BYTES``) goes to the tasks, which need the library but not
-    the file.  Batches are Arrow batches of texts; null texts have null ids.  Tokenizers are
+    the file.  Batches are Arrow batches of texts, encoded ``ENCODE_CHARS`` characters (or one text)
+    at a time: an encoding takes many times its text.  Null texts have null ids.  Tokenizers are
     used as published, with their own special tokens left out, and never trained.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -159,6 +160,7 @@ def subword_ids(df: DataFrame, tokenizer_path: str, max_len: int | None = None,
     if len(body) > MAX_TOKENIZER_BYTES:
         raise ValueError(f"{tokenizer_path} has more than {MAX_TOKENIZER_BYTES} characters")
     bc = df.sparkSession.sparkContext.broadcast(body)
+    most = ENCODE_CHARS
 
     @F.pandas_udf("struct<ids:array<int>,n:int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -169,13 +171,18 @@ def subword_ids(df: DataFrame, tokenizer_path: str, max_len: int | None = None,
         tok.no_padding()
         tok.encode_special_tokens = True
         for texts in batches:
-            found = iter(tok.encode_batch_fast([t for t in texts if t is not None], add_special_tokens=False))
-            all_ids = [next(found).ids if t is not None else None for t in texts]
-            yield pd.DataFrame({"ids": [i if i is None else i[:max_len] for i in all_ids], "n": pd.array([None if i is None else len(i) for i in all_ids], dtype="Int32")})
+            part = texts.str.len().fillna(0).astype("int64").cumsum() // most
+            for _, some in texts.groupby(part.to_numpy(), sort=False):
+                found = iter(tok.encode_batch_fast([t for t in some if t is not None], add_special_tokens=False))
+                all_ids = [next(found).ids if t is not None else None for t in some]
+                yield pd.DataFrame({"ids": [i if i is None else i[:max_len] for i in all_ids], "n": pd.array([None if i is None else len(i) for i in all_ids], dtype="Int32")})
 
     return df.withColumn("_e", encode(F.col(text))).withColumns({ids: F.col("_e.ids"), length: F.col("_e.n")}).drop("_e")
 
 
+#: characters of texts whose encodings a task holds at once
+ENCODE_CHARS = 1 << 18
+
 #: greatest size of a tokenizer file that goes to the tasks
 MAX_TOKENIZER_BYTES = 64 << 20
 

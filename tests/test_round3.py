@@ -174,3 +174,40 @@ def test_a_trained_run_is_reported(spark, tmpdir_path):
     for tag in [r.run_tag for r in recs.collect()]:
         report = spark.read.json(f"{tmpdir_path}/reports/test/{tag}/classification_report").collect()
         assert {r.row for r in report} >= {"accuracy", "macro avg"} and spark.read.json(f"{tmpdir_path}/reports/test/{tag}/confusion_matrix").count() == 3
+
+
+def test_encodings_of_a_batch_are_held_in_parts(spark):
+    public = pytest.importorskip("public_tokenizers")
+    words = " ".join(f"word{i % 97} of{i}" for i in range(700))
+    df = spark.range(5000).repartition(1).select("id", F.when(F.col("id") % 50 == 3, None).when(F.col("id") % 50 == 4, "").otherwise(F.lit(words)).alias("text"))
+    got = tokens.subword_ids(df, public.path("word_bpe_49k.json"), 4)
+
+    @F.udf("double")
+    def used(n):
+        """MB that a Python worker of this Spark session has held at most."""
+        import os
+
+        top, parent = 0, f"PPid:\t{os.getppid()}\n"
+        for pid in filter(str.isdigit, os.listdir("/proc")):
+            try:
+                with open(f"/proc/{pid}/status") as f:
+                    state = f.read()
+            except OSError:
+                continue
+            if parent in state:
+                top = max(top, int(state.split("VmHWM:")[1].split()[0]) / 1024)
+        return top
+
+    top = got.withColumn("mb", used("subword_len")).agg(F.max("mb"), F.count("mb"), F.count_if(F.col("subword_len").isNull()), F.count_if(F.col("subword_len") == 0), F.max(F.size("input_ids"))).first()
+    assert top[1:] == (5000, 100, 100, 4) and top[0] < 600
+
+
+def test_odd_texts_in_parts_keep_their_rows(spark, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    texts = [None, "", "one two three", None, "x y " * 40, "", "last", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    whole = tokens.subword_ids(df, public.path("word_bpe_49k.json")).collect()
+    monkeypatch.setattr(tokens, "ENCODE_CHARS", 5)
+    assert tokens.subword_ids(df, public.path("word_bpe_49k.json")).collect() == whole
+    nothing = df.select("i", F.lit(None).cast("string").alias("text"))
+    assert [r.input_ids for r in tokens.subword_ids(nothing, public.path("word_bpe_49k.json")).collect()] == [None] * 8

@@ -13,6 +13,8 @@
 from __future__ import annotations
 
 import math
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +32,7 @@ END_ID = 2
 GROUP_PIECES = 2000
 #: distinct parts and words remembered by a Python worker, none above KEPT_CHARS characters, so that the memory is
 #: bounded in bytes too; it changes no result
-PARTS, WORDS, KEPT_CHARS = 60_000, 200_000, 64
+PARTS, WORDS, KEPT_CHARS = 200_000, 60_000, 64
 #: texts on which a tokenizer must give the ids that :class:`WordIds` puts together, or whole texts are encoded by it
 PROBES = (
     "The quick Brown fox, it's 42 days old; don't SHOUT!  Two  spaces\nand a line\tand a tab",
@@ -39,6 +41,16 @@ PROBES = (
 )
 
 
+#: letters whose lower case the tokenizer may see otherwise
+_FOREIGN = re.compile("[İɐ-\U0010FFFF]").search
+#: a mark that ends a run of marks, which must stay whole
+_RUN = re.compile(r"[.,] (?<=[^\w\s][.,] |_[.,] )").search
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds(dict):
     """Token ids (little-endian uint32 bytes) of strings without white space, computed once each.
 
@@ -46,7 +58,8 @@ class WordIds(dict):
     ids of a text are those of its space-separated parts in a row.  Parts of plain
     Latin letters are split by the tokenizer's own pattern and each word goes to its
     BPE model; all other parts go through the whole tokenizer.  That holds for
-    tokenizers of this kind only: ``composed`` is false if the ids put together for
+    tokenizers of this kind only.  So a text is lower-cased at once and its commas and full
+    stops are parts of their own, which leaves fewer different parts.  ``composed`` is false if the ids put together for
     any of ``PROBES`` differ from the tokenizer's own, and then every text goes
     through the whole tokenizer at once.
     """
@@ -67,12 +80,15 @@ class WordIds(dict):
         self.composed = all(self.ids(x) == self.encoded(x) for x in PROBES)
 
     def encoded(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _packed(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def merged(self, w: str) -> bytes:
+        chars = w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(self.alphabet)
+        return _packed([t.id for t in self.model.tokenize(chars)])
 
     def word(self, w: str) -> bytes:
         if (ids := self.words.get(w)) is None:
-            chars = w.encode().decode("latin-1").translate(self.alphabet)
-            ids = np.array([t.id for t in self.model.tokenize(chars)], dtype="<u4").tobytes()
+            ids = self.merged(w)
             if len(w) <= KEPT_CHARS:
                 if len(self.words) >= WORDS:
                     self.words.clear()
@@ -82,9 +98,9 @@ class WordIds(dict):
     def __missing__(self, part: str) -> bytes:
         if not part:
             return b""
-        if max(part) < "ɐ" and "İ" not in part and "<|" not in part:
+        if (part.isascii() or not _FOREIGN(part)) and "<|" not in part:
             if part.isalpha():
-                ids = self.word(part.lower())
+                ids = self.merged(part.lower())
             elif part[-1] in ",.;:!?" and part[:-1].isalpha():
                 ids = self.word(part[:-1].lower()) + self.word(part[-1])
             else:
@@ -100,7 +116,12 @@ class WordIds(dict):
     def ids(self, text: str | None) -> bytes:
         if not self.composed:
             return self.encoded(text or "")
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        plain = (text or "").replace("\n", " ")
+        if "<|" not in plain and (plain.isascii() or not _FOREIGN(plain)):
+            plain = plain.lower()
+        if not _RUN(plain):
+            plain = plain.replace(", ", " , ").replace(". ", " . ")
+        return b"".join(map(self.__getitem__, plain.split(" ")))
 
 
 def _shared_words(path: str) -> WordIds:

@@ -111,3 +111,15 @@ def test_quality_of_repeated_texts_and_a_column_named_text(spark):
     assert {r._text for r in out} == {"x", "y", "z"}
     score = {r.text: r.quality_score for r in out}
     assert min(score[t] for t in good) > 0.5 > max(score[t] for t in bad) and score[None] == score[""] == 0
+
+
+def test_marks_and_runs_of_marks_keep_their_ids():
+    w = pk.WordIds(tokenizer_path())
+    rng = random.Random(8)
+    bits = ["word", "Word", "É", "ñandú", "42", "...", "..", ",", ".", "!,", "_", "_,", "a_.", "́,", "工作.", "ΟΔΟΣ,", "İ.", "<|endoftext|>", "<|ENDOFTEXT|>.", "\x1c", "\x7f", "\x00x", "\t", "'s,", "l'été.", " ", "  ", "\n"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) + rng.choice(["", " ", ", ", ". ", "\n"]) for _ in range(12))
+        assert w.ids(text) == w.encoded(text), text
+    # a part with its comma is no entry of its own
+    w.ids("Alpha, alpha. Alpha alpha ")
+    assert "alpha" in w and not {"Alpha", "Alpha,", "alpha,", "alpha."} & set(w)

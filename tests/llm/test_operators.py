@@ -477,3 +477,67 @@ def test_a_passage_whose_parts_also_stand_elsewhere_is_found_in_spite_of_edits(s
         rows += [(1000 * g + d, " ".join(words(rng, 30) + t + words(rng, 30))) for d, t in texts.items()]
     got = {tuple(sorted((r.doc_id, r.other_id))) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == pairs
+
+
+def test_scratch_of_passages_goes_as_soon_as_nothing_reads_it(spark, docs):
+    import time
+
+    from lexiflow.session import checkpoint_dir
+
+    def shuffled():
+        """Bytes of each shuffle file of this process."""
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    def tables():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/lexiflow-tables")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        return {s.getPath().getName() for s in fs.listStatus(path)} if fs.exists(path) else set()
+
+    old, old_tables = set(shuffled()), tables()
+    got = repeated_passages(docs)
+    left = 0
+    for _ in range(40):  # executors remove files a little later
+        left = sum(n for f, n in shuffled().items() if f not in old)
+        if left < 20_000:
+            break
+        time.sleep(0.5)
+    assert left < 20_000
+    assert not {t for t in tables() - old_tables if t.startswith(("sd-shared", "sd-runs"))}
+    assert got.count() > 0
+
+
+def test_the_screen_of_pairs_keeps_what_an_alignment_finds():
+    import pyarrow as pa
+
+    from lexiflow.llm.substring_dedup import _alignments, _screen
+
+    rng = random.Random(37)
+    lists = pa.list_(pa.list_(pa.int32()))
+    rows = []
+    for i in range(400):
+        n, seed = rng.choice((20, 38, 45, 60, 150)), 4
+        p = words(rng, n)
+        q = [w if rng.random() < rng.choice((1, 0.9, 0.7)) else "other" for w in p]
+        at = rng.randrange(n - seed)
+        q[at : at + seed] = p[at : at + seed]
+        a, b = words(rng, 90) + p + words(rng, rng.choice((0, 90))), words(rng, rng.choice((0, 70))) + q + words(rng, 80)
+        rows.append((i, i + 1000, a, b, [[90 + at]], [[len(b) - 80 - n + at]]))
+
+    def batch(rows, margin):
+        cut = lambda t, c: (max(0, c[0][0] - margin), t[max(0, c[0][0] - margin) : c[0][0] + 4 + margin])
+        cols = collections.defaultdict(list)
+        for d, od, a, b, xs, ys in rows:
+            for side, t, c in (("a", a, xs), ("b", b, ys)):
+                start, part = cut(t, c)
+                cols[f"{side}0"].append(start)
+                cols[f"n{side}"].append(len(t))
+                cols[f"t{side}"].append(" ".join(part))
+            for name, v in (("d", d), ("od", od), ("id", d), ("oid", od), ("xs", xs), ("ys", ys)):
+                cols[name].append(v)
+        return pa.RecordBatch.from_arrays([pa.array(v, lists if c in ("xs", "ys") else None) for c, v in cols.items()], names=list(cols))
+
+    kept = {d for r in _screen(4, 50, 0.8)(iter([batch(rows, 50)])) for d in r.column("d").to_pylist()}
+    found = {d: f for r in _alignments(4, 50, 0.8)(iter([batch(rows, 1000)])) for d, f in zip(r.column("d").to_pylist(), r.column("found").to_pylist())}
+    again = {d: f for r in _alignments(4, 50, 0.8)(iter([batch([x for x in rows if x[0] in kept], 1000)])) for d, f in zip(r.column("d").to_pylist(), r.column("found").to_pylist())}
+    assert found == again and 50 < len(found) <= len(kept) < 300

@@ -541,3 +541,33 @@ def test_the_screen_of_pairs_keeps_what_an_alignment_finds():
     found = {d: f for r in _alignments(4, 50, 0.8)(iter([batch(rows, 1000)])) for d, f in zip(r.column("d").to_pylist(), r.column("found").to_pylist())}
     again = {d: f for r in _alignments(4, 50, 0.8)(iter([batch([x for x in rows if x[0] in kept], 1000)])) for d, f in zip(r.column("d").to_pylist(), r.column("found").to_pylist())}
     assert found == again and 50 < len(found) <= len(kept) < 300
+
+
+def test_links_of_rare_and_common_seeds_are_chained_together(spark):
+    rng = random.Random(37)
+    rows, pairs = [], set()
+    for g in range(12):
+        p, q = words(rng, 25), words(rng, 25)
+        # the halves are parted by words that only one has, so neither is enough alone; six others have the first half too
+        texts = {7: p + words(rng, 4) + q, 9: p + q, **{20 + c: p for c in range(6)}}
+        pairs.add((100 * g + 7, 100 * g + 9))
+        rows += [(100 * g + d, " ".join(words(rng, 30) + t + words(rng, 30))) for d, t in texts.items()]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(sorted((r.doc_id, r.other_id))) for r in got} == pairs
+    # a pair of documents stands in one order only
+    assert not {(r.doc_id, r.other_id) for r in got} & {(r.other_id, r.doc_id) for r in got}
+
+
+def test_further_copies_are_matched_with_every_holder(spark):
+    rng = random.Random(41)
+    p, rows, places = words(rng, 60), [], {}
+    for d in range(8):
+        t = words(rng, 30) + p
+        places[d] = [30]
+        if d < 4:
+            places[d].append(len(t) + 70)
+            t = t + words(rng, 70) + p
+        rows.append((d, " ".join(t + words(rng, 30))))
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = {(a, b, s) for r in got for a, b, s in ((r.doc_id, r.other_id, r.start), (r.other_id, r.doc_id, r.other_start))}
+    assert {(a, b, s) for a in places for b in places if a != b for s in places[a]} <= spans
